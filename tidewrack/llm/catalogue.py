@@ -7,9 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewrack.llm.history import seen_pages
 from tidewrack.llm.leakage import leaked_items
 from tidewrack.llm.mixing import mix_sources, reached_shares
+from tidewrack.llm.subjects import document_subjects
+from tidewrack.llm.variants import similar_pairs
 from tidewrack.tables import table
 
 
+def p4_found(spark: SparkSession, data_dir: str) -> DataFrame:
+    return similar_pairs(table(spark, data_dir, "items"))
+
+
 def p5_found(spark: SparkSession, data_dir: str) -> DataFrame:
     return seen_pages(table(spark, data_dir, "items"), table(spark, data_dir, "feed_results"))
 
@@ -27,6 +33,17 @@ def p9_shares(spark: SparkSession, data_dir: str) -> DataFrame:
     return reached_shares(mix_sources(docs, targets), docs, targets)
 
 
-QUERIES = {"p5_found": p5_found, "p8_found": p8_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
+def p10_found(spark: SparkSession, data_dir: str) -> DataFrame:
+    return document_subjects(*(table(spark, data_dir, t) for t in ("documents", "doc_labels", "subjects")))
+
+
+QUERIES = {
+    "p4_found": p4_found,
+    "p5_found": p5_found,
+    "p8_found": p8_found,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
+    "p10_found": p10_found,
+}
 
 ORACLE: dict[str, str] = {}
