@@ -2,12 +2,13 @@
 
 One-versus-rest linear classifiers on hashed word n-grams (single words and
 pairs), fitted by logistic regression on a bounded sample of weakly labelled
-documents. The classifiers are linear, so the same weights also score single
-sentences; a document's subjects are those that enough of its sentences are
-about. How strong a sentence must be, how many sentences and which share of
-the sentences with any subject make a main subject is calibrated on a held-out
-quarter of the sample. A passing sentence stays below these thresholds and a
-text of everyday sentences has no sentence that reaches them.
+documents. The classifiers are linear, so their weights also score single
+sentences; a second fit on the sample's sentences, labelled by the first,
+teaches them which sentences have no subject. A document's subjects are those
+that enough of its sentences are about: how strong a sentence must be, how
+many there must be and which share of the sentences with any subject is
+calibrated on a held-out quarter of the sample. A passing sentence stays below
+these thresholds, and everyday sentences reach none.
 """
 
 from __future__ import annotations
@@ -77,15 +78,34 @@ class SubjectModel:
         np.add.at(out, (np.array([k for k, _ in rows])[ok], best[ok]), 1)
         return out
 
-    def decide(self, counts: np.ndarray, least: int | None = None, share: float | None = None) -> np.ndarray:
+    def decide(self, counts: np.ndarray, sizes: np.ndarray, least: int | None = None, share: float | None = None) -> np.ndarray:
+        """Main subjects from ``counts`` of documents of ``sizes`` sentences; where less than ``least`` can be had, half of the sentences must do."""
         total = np.maximum(counts.sum(axis=1, keepdims=True), 1)
-        return (counts >= np.minimum(self.least_sentences if least is None else least, total)) & (counts / total >= (self.least_share if share is None else share)) & (counts > 0)
+        enough = (counts >= (self.least_sentences if least is None else least)) | (2 * counts >= np.maximum(sizes, 1)[:, None])
+        return enough & (counts / total >= (self.least_share if share is None else share)) & (counts > 0)
 
 
 def _features_of(texts, hashed: WordHash) -> list[list[np.ndarray]]:
     return [[features(hashed(w)) for s in sentences(t) if (w := [x for x in words_of(s) if not x.isdigit()])] if isinstance(t, str) else [] for t in texts]
 
 
+def _fit_sentences(docs: list[list[np.ndarray]], y: np.ndarray, sure: float = 4.0, none: float = 2.0) -> np.ndarray:
+    """Weights that score sentences: the document classifiers label those they are sure of, as a subject of their document or as none."""
+    w = _fit(docs, y)
+    parts, targets = [], []
+    for d, t in zip(docs, y):
+        for f in d:
+            z = w[f].sum(axis=0)
+            k = int(z.argmax())
+            if z[k] >= sure and t[k]:
+                parts.append([f])
+                targets.append(np.arange(y.shape[1]) == k)
+            elif z[k] < none:
+                parts.append([f])
+                targets.append(np.zeros(y.shape[1], bool))
+    return _fit(parts, np.array(targets, float), epochs=3) if parts else w
+
+
 def _fit(docs: list[list[np.ndarray]], y: np.ndarray, epochs: int = 8, rate: float = 0.3, shrink: float = 1e-5, least_docs: int = 3) -> np.ndarray:
     bags = [np.unique(np.concatenate(d), return_counts=True) if d else (np.zeros(0, np.int64), np.zeros(0)) for d in docs]
     n_docs = np.zeros(1 << BITS)
@@ -126,17 +146,18 @@ def fit_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, m
     y = np.array([[s in r.subjects for s in names] for r in rows], float)
     held = np.arange(len(rows)) % 4 == 0 if len(rows) >= 40 else np.ones(len(rows), bool)
     fit = [k for k in range(len(rows)) if not held[k]] or list(range(len(rows)))
-    m = SubjectModel(names, _fit([docs[k] for k in fit], y[fit]).astype(np.float32))
+    m = SubjectModel(names, _fit_sentences([docs[k] for k in fit], y[fit]).astype(np.float32))
     best, truth, test = -1.0, y[held], [docs[k] for k in np.flatnonzero(held)]
-    for strength in (0.5, 1.0, 1.5, 2.0, 3.0):
+    sizes = np.array([len(d) for d in test])
+    for strength in (6.0, 5.0, 4.0, 3.0, 2.0, 1.0):  # of equals the strictest
         c = m.counts(test, strength)
-        for least in (1, 2, 3):
-            for share in (0.15, 0.2, 0.25, 0.3, 0.35):
-                p = m.decide(c, least, share)
+        for least in (3, 2, 1):
+            for share in (0.35, 0.3, 0.25, 0.2, 0.15):
+                p = m.decide(c, sizes, least, share)
                 f1 = 2 * (p * truth).sum() / max(1.0, p.sum() + truth.sum())
-                if f1 > best:
+                if f1 > best + 0.003:
                     best, m.strength, m.least_sentences, m.least_share = f1, strength, least, share
-    m.weights = _fit(docs, y).astype(np.float32)  # thresholds stay, the weights now use the whole sample
+    m.weights = _fit_sentences(docs, y).astype(np.float32)  # thresholds stay, the weights now use the whole sample
     return m
 
 
@@ -157,7 +178,8 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, hashed = shared.value, WordHash()
         for b in batches:
-            hit = m.decide(m.counts(_features_of(b["text"], hashed)))
+            docs = _features_of(b["text"], hashed)
+            hit = m.decide(m.counts(docs), np.array([len(d) for d in docs]))
             r, c = np.nonzero(hit)
             yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[r], "subject": np.array(m.subjects, dtype=object)[c]})
 
