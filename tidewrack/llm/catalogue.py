@@ -4,14 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewrack.llm.blocks import page_furniture
 from tidewrack.llm.history import seen_pages
 from tidewrack.llm.leakage import leaked_items
+from tidewrack.llm.mailspans import unauthored_lines
 from tidewrack.llm.mixing import mix_sources, reached_shares
+from tidewrack.llm.residue import residue_of
 from tidewrack.llm.subjects import document_subjects
 from tidewrack.llm.variants import similar_pairs
 from tidewrack.tables import table
 
 
+def p1_found(spark: SparkSession, data_dir: str) -> DataFrame:
+    return residue_of(table(spark, data_dir, "items"), table(spark, data_dir, "feed_results"))
+
+
+def p2_found(spark: SparkSession, data_dir: str) -> DataFrame:
+    return page_furniture(table(spark, data_dir, "items"), table(spark, data_dir, "messages"))
+
+
+def p3_found(spark: SparkSession, data_dir: str) -> DataFrame:
+    return unauthored_lines(table(spark, data_dir, "messages"))
+
+
 def p4_found(spark: SparkSession, data_dir: str) -> DataFrame:
     return similar_pairs(table(spark, data_dir, "items"))
 
@@ -38,6 +53,9 @@ def p10_found(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p3_found": p3_found,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p8_found": p8_found,

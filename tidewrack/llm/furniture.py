@@ -23,10 +23,10 @@ MENU_PHRASES = {"about us", "log in", "sign in", "über uns", "à propos", "avis
 # Lines that are furniture as a whole, as patterns, by kind.
 WHOLE_LINE = [
     # navigation
-    r"(?:toggle navigation|skip to (?:main )?content|menu|menü|menú|back to top|zum inhalt(?: springen)?|zur navigation|nach oben|aller au (?:contenu|menu)|haut de page|retour en haut|(?:saltar|ir) al contenido|volver arriba|navigation (?:umschalten|ein-/ausblenden)|go back to the homepage|navigation)",
+    r"(?:toggle navigation|skip to (?:main )?content|menu|menü|menú|back to top|zum inhalt(?: springen)?|zur navigation|nach oben|aller au (?:contenu|menu)|haut de page|retour en haut|(?:saltar|ir) al contenido|volver arriba|navigation (?:umschalten|ein-/ausblenden)|navigation)",
     # consent
     r"(?:accept all|reject all|alle akzeptieren|tout accepter|aceptar todo)\b.*",
-    r".*\bcookies?\b.*(?:\bto\b|\bum\b|\bpour\b|\bpara\b|\.).*",
+    r"(?!noscript).*\bcookies?\b.*(?:\bto\b|\bum\b|\bpour\b|\bpara\b|\.).*",
     r"(?:this site stores small files|by continuing to browse|your privacy:|al continuar acepta|en poursuivant, vous acceptez|mit der weiteren nutzung|diese (?:seite|website) speichert|ihre privatsphäre|su privacidad|votre vie privée|ce site (?:enregistre|stocke)|este sitio (?:guarda|almacena)).*",
     # sharing
     r"(?:share this\b|share on social media|tweet \||like \d+ ·|compartir\b|partager\b|beitrag teilen|teilen\b|share \|).*",
@@ -42,7 +42,7 @@ WHOLE_LINE = [
     r".* is an independent publication\. .*|made with care in .*|.* (?:ist eine unabhängige|est une publication indépendante|es una publicación independiente).*",
     r"(?:impressum \||mentions légales|aviso legal \||terms \|).*",
     # letters
-    r"(?:view this (?:letter|e-?mail) in your browser|trouble reading\?.*|voir en ligne|ver en línea|im browser (?:ansehen|öffnen)|online ansehen|problèmes d'affichage.*|¿problemas para leer.*)",
+    r"(?:view this (?:letter|e-?mail) in your browser|trouble reading\?.*|voir en ligne|ver en (?:línea|el navegador)|voir dans le navigateur|im browser (?:ansehen|öffnen)|online ansehen|problèmes d'affichage.*|¿problemas para leer.*)",
     r"(?:unsubscribe\b|no longer interested\?|se désabonner|se désinscrire|darse de baja|cancelar (?:la )?suscripción|abmelden\b|abbestellen|vom rundbrief abmelden|plus envie\b|ya no le interesa|kein interesse mehr|you (?:receive|are receiving|get) this).*",
 ]
 # Heads of lists of other articles, and pointers to one other article.
@@ -58,6 +58,31 @@ _TAG = re.compile(r"<[^>]*>")
 _END = re.compile(r"[.!?…:][\"'»”)]?$")
 
 
+_HIDDEN = re.compile(r"<!--.*?-->|<(script|style|title|noscript|template)\b[^>]*>.*?</\1\s*>", re.I | re.S)
+_OPENS = re.compile(r"<!--|<(script|style|title|noscript|template)\b[^>]*>", re.I)
+
+
+def visible_lines(text: str) -> list[str]:
+    """The visible text of each line of ``text``; nothing inside scripts, styles, titles and comments is visible."""
+    lines = text.split("\n")
+    if "<" not in text:
+        return [" ".join(s.split()) for s in lines]
+    out, until = [], None
+    for s in lines:
+        if until:
+            at = s.lower().find(until)
+            if at < 0:
+                out.append("")
+                continue
+            s, until = s[at + len(until) :], None
+        s = _HIDDEN.sub(" ", s)
+        if m := _OPENS.search(s):
+            until = f"</{m.group(1).lower()}" if m.group(1) else "-->"
+            s = s[: m.start()]
+        out.append(visible(s))
+    return out
+
+
 def visible(line: str) -> str:
     """The visible text of a line: without tags, entities decoded, spaces joined."""
     if "<" in line:

@@ -54,5 +54,5 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
     out = np.zeros(n - k + 1, np.uint64)
     with np.errstate(over="ignore"):
         for i in range(k):
-            out = mix(out * np.uint64(31) + h[i : n - k + 1 + i], i)
-    return out
+            out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : n - k + 1 + i]
+    return mix(out, k)
