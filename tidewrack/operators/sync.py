@@ -43,4 +43,4 @@ def failure_streaks(log: DataFrame, key: str, at: str, kind: str, failure: str,
 def topic_groups(items: DataFrame, assignment: DataFrame, most: int = 5) -> DataFrame:
     """topic, size, first_number: the ``most`` largest topics; numbers out of range and empty topics drop out, ties keep the order of first mention."""
     x = assignment.join(items, "number", "inner")
-    return x.groupBy("topic").agg(F.count(F.lit(1)).alias("size"), F.min("pos").alias("first_pos")).orderBy(F.desc("size"), "first_pos").limit(most)
+    return x.groupBy("topic").agg(F.count(F.lit(1)).alias("size"), F.min("pos").alias("first_pos")).orderBy(F.desc("size"), "first_pos", "topic").limit(most)
