@@ -26,7 +26,6 @@ WHOLE_LINE = [
     r"(?:toggle navigation|skip to (?:main )?content|menu|menü|menú|back to top|zum inhalt(?: springen)?|zur navigation|nach oben|aller au (?:contenu|menu)|haut de page|retour en haut|(?:saltar|ir) al contenido|volver arriba|navigation (?:umschalten|ein-/ausblenden)|navigation)",
     # consent
     r"(?:accept all|reject all|alle akzeptieren|tout accepter|aceptar todo)\b.*",
-    r"(?!noscript).*\bcookies?\b.*(?:\bto\b|\bum\b|\bpour\b|\bpara\b|\.).*",
     r"(?:this site stores small files|by continuing to browse|your privacy:|al continuar acepta|en poursuivant, vous acceptez|mit der weiteren nutzung|diese (?:seite|website) speichert|ihre privatsphäre|su privacidad|votre vie privée|ce site (?:enregistre|stocke)|este sitio (?:guarda|almacena)).*",
     # sharing
     r"(?:share this\b|share on social media|tweet \||like \d+ ·|compartir\b|partager\b|beitrag teilen|teilen\b|share \|).*",
@@ -38,17 +37,29 @@ WHOLE_LINE = [
     r"(?:advertisement|sponsored(?: content)?|ad – scroll to continue|article continues below|anzeige|werbung|werbung –.*|publicité|publicidad|la suite après la publicité|sigue después del anuncio|contenu sponsorisé|contenido patrocinado|gesponsert(?:er inhalt)?|der artikel geht unten weiter)",
     # foot of the page
     r"(?:©|\(c\)|copyright)\s.*",
-    r".*(?:all rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos reservados).*",
-    r".* is an independent publication\. .*|made with care in .*|.* (?:ist eine unabhängige|est une publication indépendante|es una publicación independiente).*",
+    r"made with care in .*",
     r"(?:impressum \||mentions légales|aviso legal \||terms \|).*",
     # letters
     r"(?:view this (?:letter|e-?mail) in your browser|trouble reading\?.*|voir en ligne|ver en (?:línea|el navegador)|voir dans le navigateur|im browser (?:ansehen|öffnen)|online ansehen|problèmes d'affichage.*|¿problemas para leer.*)",
     r"(?:unsubscribe\b|no longer interested\?|se désabonner|se désinscrire|darse de baja|cancelar (?:la )?suscripción|abmelden\b|abbestellen|vom rundbrief abmelden|plus envie\b|ya no le interesa|kein interesse mehr|you (?:receive|are receiving|get) this).*",
 ]
+# Fixed values: (word that must occur, pattern of the line) of furniture told by what it contains.
+CONTAINING = [
+    ("cookie", r"(?!noscript).*\bcookies?\b.*(?:\bto\b|\bum\b|\bpour\b|\bpara\b|\.).*"),
+    ("all rights reserved", r".*"),
+    ("alle rechte vorbehalten", r".*"),
+    ("tous droits réservés", r".*"),
+    ("todos los derechos reservados", r".*"),
+    (" is an independent publication. ", r".*"),
+    (" ist eine unabhängige ", r".*"),
+    (" est une publication indépendante", r".*"),
+    (" es una publicación independiente", r".*"),
+]
 # Heads of lists of other articles, and pointers to one other article.
 RELATED_HEAD = r"(?:you may also like|related(?: posts| articles)?|most read(?: this week)?|recommended for you|more from .+|read next|popular(?: posts)?|lo más leído|más de .+|también le puede interesar|à lire aussi|les plus lus|plus de .+|meistgelesen|das könnte sie auch interessieren|mehr (?:von|aus) .+|vous aimerez aussi|auch interessant|weitere artikel|notas relacionadas|trending(?: now)?)"
 POINTER = r"(?:more|read (?:more|also|next)|see also|lire aussi|à lire aussi|voir aussi|lea también|léase también|más|vea también|mehr(?: dazu)?|lesen sie auch|siehe auch|mehr zum thema)\s?:\s.+"
 _WHOLE = re.compile(r"^(?:" + "|".join(WHOLE_LINE) + r")\s*$", re.I)
+_CONTAINING = [(w, re.compile(f"^{p}$", re.I)) for w, p in CONTAINING]
 _RELATED = re.compile(rf"^{RELATED_HEAD}\s*$", re.I)
 _POINTER = re.compile(rf"^{POINTER}$", re.I)
 _CRUMB = re.compile(r"^[^>.!?]{2,40} > [^>.!?]{2,60} > .+$")
@@ -101,7 +112,14 @@ def is_menu(s: str) -> bool:
 
 def is_furniture(s: str) -> bool:
     """Whether a visible line is furniture by itself."""
-    return bool(_WHOLE.match(s) or _RELATED.match(s) or _POINTER.match(s) or _CRUMB.match(s) or is_menu(s))
+    if _WHOLE.match(s):
+        return True
+    low = s.lower()
+    if any(w in low and p.match(s) for w, p in _CONTAINING):
+        return True
+    if len(s) > 200:
+        return False
+    return bool(_RELATED.match(s) or (":" in s and _POINTER.match(s)) or (" > " in s and _CRUMB.match(s)) or is_menu(s))
 
 
 def weak_labels(lines: list[str]) -> list[int]:

@@ -72,6 +72,7 @@ LATIN = set(
 _RESIDUE = re.compile(r"^(?:" + "|".join(RESIDUE) + r")$", re.I | re.S)
 _TAIL = re.compile(r"^(?:" + "|".join(TAIL) + r")$", re.I)
 _IDS = re.compile(r"\(?\b(?=[0-9a-f-]*\d)[0-9a-f]{6,}(?:-[0-9a-f]{2,})*\b\)?|\(\d+\)|(?<=\s)\d+\s*$", re.I)
+_HEX = re.compile(r"(?=[a-f]*\d)[0-9a-f]+$")
 _CUT = re.compile(r"</p\s*>|<br\s*/?>|</(?:div|li|h\d|td|tr)\s*>", re.I)
 _SENTENCES = re.compile(r"(?<=[.!?…;])\s+|\n")
 _SLOT_MARK = "slotmark"
@@ -116,9 +117,15 @@ def is_residue(core: str) -> bool:
     return bad > 0 and good <= 0.15 * (good + bad)
 
 
-def _core_hashes(core: str, hashed: WordHash) -> np.ndarray:
-    w = ["0" if x.isdigit() else x for x in words_of(_IDS.sub(" ", f"{core} "))]
-    return np.unique(shingles(hashed(w), SHINGLE))
+class CoreHash(WordHash):
+    """Word hashes in which numbers and identifiers are all one word."""
+
+    def word(self, w: str) -> int:
+        return super().word("0" if w.isdigit() or (len(w) >= 6 and _HEX.match(w)) else w)
+
+
+def _core_hashes(core: str, hashed: CoreHash) -> np.ndarray:
+    return np.unique(shingles(hashed(words_of(core)), SHINGLE))
 
 
 def simhash(s: np.ndarray) -> int:
@@ -131,7 +138,7 @@ def _nodes(texts: DataFrame) -> DataFrame:
     """tbl, rec_id, trusted, k1, k2, print, n for every row whose core has words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashed = WordHash()
+        hashed = CoreHash()
         for b in batches:
             rows = []
             for tbl, i, t in zip(b["tbl"], b["rec_id"], b["text"]):
@@ -201,7 +208,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashed = WordHash()
+        hashed = CoreHash()
         for b in batches:
             sets = [_core_hashes(core_text(t), hashed).view(np.int64) for t in b["text"]]
             yield pd.DataFrame({"tbl": b["tbl"], "rec_id": b["rec_id"], "s": pd.Series(sets, dtype=object, index=b.index)})

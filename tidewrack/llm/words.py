@@ -18,6 +18,10 @@ class WordHash:
     def __init__(self) -> None:
         self.seen: dict[str, int] = {}
 
+    def word(self, w: str) -> int:
+        """Hash of a word that is not remembered yet."""
+        return xxhash.xxh64_intdigest(w)
+
     def __call__(self, words: list[str]) -> np.ndarray:
         seen = self.seen
         try:
@@ -27,7 +31,7 @@ class WordHash:
                 seen.clear()
             for w in words:
                 if w not in seen:
-                    seen[w] = xxhash.xxh64_intdigest(w)
+                    seen[w] = self.word(w)
             return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
 
 
