@@ -31,36 +31,55 @@ WIDTH = 4
 #: 18 segments: a pair of similarity 0.5 shares a variant with probability 1 - (1 - 0.3125)^18 = 0.9988, one of 0.6 with 0.99997.
 SEGMENTS = 18
 SLOTS = WIDTH * SEGMENTS
+#: Ids of records with candidates are broadcast up to this many; beyond, the join shuffles.
+BROADCAST_IDS = 300_000
 #: Bits of 128 in which the sketches of a candidate pair may differ: 64 at similarity 0, 32 +- 5 at 0.5.
 SKETCH_BITS = 54
 
 
+def _family(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    k = np.arange(n, dtype=np.uint64)
+    return mix(k, seed) | np.uint64(1), mix(k, seed + 1)
+
+
+_A, _B = _family(SLOTS + 128, 901)
+
+
+def least_hashes(g: np.ndarray) -> np.ndarray:
+    """The least of each of SLOTS + 128 linear hashes over a set of mixed 64-bit values; long sets go in pieces."""
+    out = np.full(len(_A), np.uint64(0xFFFFFFFFFFFFFFFF))
+    with np.errstate(over="ignore"):
+        for k in range(0, len(g), 2048):
+            out = np.minimum(out, (g[k : k + 2048, None] * _A + _B).min(axis=0))
+    return out
+
+
 def signatures(items: DataFrame, min_words: int) -> DataFrame:
-    """item_id, same (128-bit identity of the set, as two longs), n, grams, keys, s1, s2 for records of enough words."""
+    """item_id, same (128-bit identity of the set, as two longs), n, keys, s1, s2 for records of enough words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashed = WordHash()
         powers = np.uint64(1) << np.arange(64, dtype=np.uint64)
         for b in batches:
-            cols: dict[str, list] = {c: [] for c in ("item_id", "same1", "same2", "n", "grams", "keys", "s1", "s2")}
+            cols: dict[str, list] = {c: [] for c in ("item_id", "same1", "same2", "n", "keys", "s1", "s2")}
             for i, title, text in zip(b["item_id"], b["title"], b["text"]):
                 w = words_of(text)
                 if len(w) < min_words:
                     continue
                 g = np.unique(shingles(hashed(words_of(title) + w), SHINGLE))
-                least = np.array([mix(g, 101 + k).min() for k in range(SLOTS)])
-                seg = mix(least, 7).reshape(SEGMENTS, WIDTH)
+                least = least_hashes(g)
+                seg = mix(least[:SLOTS], 7).reshape(SEGMENTS, WIDTH)
                 place = np.arange(WIDTH, dtype=np.uint64)
                 with np.errstate(over="ignore"):
                     each = mix(seg * np.uint64(31) + place, 11)  # a symbol at its place
                     whole = each.sum(axis=1, dtype=np.uint64)[:, None]
                     keys = mix((whole - each) * np.uint64(31) + place + np.uint64(5) * np.arange(SEGMENTS, dtype=np.uint64)[:, None], 13).ravel()
-                bits = np.array([mix(g, 501 + k).min() for k in range(128)]) & np.uint64(1)
-                for c, v in zip(cols, (i, int(mix(g, 1).sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mix(g, 2)).view(np.int64)), len(g), g.view(np.int64), keys.view(np.int64), int((bits[:64] * powers).sum(dtype=np.uint64).view(np.int64)), int((bits[64:] * powers).sum(dtype=np.uint64).view(np.int64)))):
+                bits = mix(least[SLOTS:], 9) & np.uint64(1)
+                for c, v in zip(cols, (i, int(mix(g, 1).sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mix(g, 2)).view(np.int64)), len(g), keys.view(np.int64), int((bits[:64] * powers).sum(dtype=np.uint64).view(np.int64)), int((bits[64:] * powers).sum(dtype=np.uint64).view(np.int64)))):
                     cols[c].append(v)
-            yield pd.DataFrame({c: pd.Series(v, dtype=object if c in ("grams", "keys") else "int64") for c, v in cols.items()})
+            yield pd.DataFrame({c: pd.Series(v, dtype=object if c == "keys" else "int64") for c, v in cols.items()})
 
-    schema = "item_id bigint, same1 bigint, same2 bigint, n int, grams array<bigint>, keys array<bigint>, s1 bigint, s2 bigint"
+    schema = "item_id bigint, same1 bigint, same2 bigint, n int, keys array<bigint>, s1 bigint, s2 bigint"
     x = items.filter("item_id is not null and text is not null").select("item_id", "title", "text").repartition(work_slots(items.sparkSession, 4))
     return x.mapInPandas(run, schema)
 
@@ -73,28 +92,48 @@ def similar_classes(items: DataFrame, threshold: float = 0.5, min_words: int = 5
     """
     sig = staged(signatures(items, min_words), "variant-signatures")
     # a hot class costs one row per map task
-    rep = sig.groupBy("same1", "same2").agg(F.min("item_id").alias("rep"))
-    reps = sig.join(rep.select(F.col("rep").alias("item_id")), "item_id", "left_semi").dropDuplicates(["item_id"])
-    members = sig.select("item_id", "same1", "same2").join(rep, ["same1", "same2"]).select("item_id", "rep").distinct()
-    keyed = reps.select(F.explode("keys").alias("key"), F.col("item_id").alias("r"), "n", "s1", "s2")
+    rep = staged(sig.groupBy("same1", "same2").agg(F.min("item_id").alias("rep")), "variant-classes")
+    side = F.broadcast(rep) if rep.count() <= BROADCAST_IDS else rep
+    classed = sig.join(side, ["same1", "same2"])
+    members = classed.select("item_id", "rep").distinct()
+    reps = classed.filter(F.col("item_id") == F.col("rep"))
+    keyed = reps.select(F.explode("keys").alias("key"), F.col("item_id").alias("r"), "n")
     a, b = keyed.alias("a"), keyed.alias("b")
-    near = F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1"))) + F.bit_count(F.col("a.s2").bitwiseXOR(F.col("b.s2"))) <= SKETCH_BITS
-    alike = (F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n")) & near
+    alike = F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n")
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.r") < F.col("b.r")) & alike).select(F.col("a.r").alias("a"), F.col("b.r").alias("b")).distinct()
-    grams = reps.select("item_id", "grams", "n")
-    pairs = pairs.join(grams.selectExpr("item_id as a", "grams as ga", "n as na"), "a").join(grams.selectExpr("item_id as b", "grams as gb", "n as nb"), "b")
-    both = F.size(F.array_intersect("ga", "gb"))
-    links = pairs.withColumn("both", both).filter(F.col("both") >= threshold * (F.col("na") + F.col("nb") - F.col("both"))).selectExpr("a as rep_a", "b as rep_b")
+    print_of = reps.select("item_id", "s1", "s2").dropDuplicates(["item_id"])
+    pairs = pairs.join(print_of.selectExpr("item_id as a", "s1 as a1", "s2 as a2"), "a").join(print_of.selectExpr("item_id as b", "s1 as b1", "s2 as b2"), "b")
+    pairs = pairs.filter(F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2"))) <= SKETCH_BITS)
+    pairs = staged(pairs.select("a", "b"), "variant-candidates")
+    # whole sets only of records that have a candidate
+    ids = pairs.select(F.col("a").alias("item_id")).unionByName(pairs.select(F.col("b").alias("item_id"))).distinct()
+    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    grams = _sets(items.join(side, "item_id", "left_semi"))
+    pairs = pairs.join(grams.selectExpr("item_id as a", "grams as ga"), "a").join(grams.selectExpr("item_id as b", "grams as gb"), "b")
+    both, na, nb = F.size(F.array_intersect("ga", "gb")), F.size("ga"), F.size("gb")
+    links = pairs.filter(both >= threshold * (na + nb - both)).selectExpr("a as rep_a", "b as rep_b")
     return members, links
 
 
+def _sets(items: DataFrame) -> DataFrame:
+    """item_id, grams: the set of word sequences of each record."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashed = WordHash()
+        for b in batches:
+            grams = [np.unique(shingles(hashed(words_of(title) + words_of(text)), SHINGLE)).view(np.int64) for title, text in zip(b["title"], b["text"])]
+            yield pd.DataFrame({"item_id": b["item_id"], "grams": pd.Series(grams, dtype=object, index=b.index)})
+
+    return items.select("item_id", "title", "text").mapInPandas(run, "item_id bigint, grams array<bigint>").dropDuplicates(["item_id"])
+
+
 def similar_pairs(items: DataFrame, threshold: float = 0.5, min_words: int = 50) -> DataFrame:
     """item_id_a < item_id_b for all pairs of records of at least ``min_words`` words whose similarity reaches ``threshold``.
 
     Similarity: Jaccard of the sets of three consecutive words of title (empty
-    if null), a line break and text. Null or short texts are in no pair; rows
-    of one item_id count as one record each, but a record is no pair with
-    itself. Columns other than item_id, title and text are not read.
+    if null), a line break and text. Null or short texts are in no pair.
+    item_id is a key: of rows that repeat one, one text counts, and a record is
+    no pair with itself. Columns other than item_id, title and text are not read.
     """
     members, links = similar_classes(items, threshold, min_words)
     members, links = staged(members, "variant-members"), staged(links, "variant-links")
