@@ -23,12 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewrack.llm.leakage import MARKS
-from tidewrack.llm.words import WordHash, mix, words_of
+from tidewrack.llm.words import WordHash, mix
 from tidewrack.session import work_slots
 
 BITS = 16
+DUMMY = 1 << BITS
 #: At most so many labelled documents are fitted on, taken in order of a hash of their ids.
-MAX_LABELLED = 6000
+MAX_LABELLED = 4000
+_ALPHA = re.compile(r"[^\W\d_]+")
 _FRONT = re.compile(r"\A---\n.*?\n---\n", re.S)
 _HEADER = re.compile(r"^WEBVTT.*$", re.M)
 _HEADING = re.compile(r"^#+ .*$", re.M)
@@ -44,14 +46,52 @@ def sentences(text: str) -> list[str]:
     return [s for s in _BREAK.split(t) if s.strip()]
 
 
-def features(h: np.ndarray) -> np.ndarray:
-    """Feature numbers of a sentence's word hashes: words, then pairs of neighbours."""
-    if len(h) > 1:
+@dataclass
+class Bags:
+    """Features of sentences, flat: two per word (itself, and its pair with the next word; DUMMY at a sentence's end)."""
+
+    words: np.ndarray
+    pairs: np.ndarray
+    starts: np.ndarray  # of each sentence, into the words
+    sentences: np.ndarray  # number of sentences of each document
+
+    @staticmethod
+    def of(texts, hashed: WordHash) -> Bags:
+        words: list[str] = []
+        lengths: list[int] = []
+        per_doc = np.zeros(len(texts), np.int64)
+        for k, t in enumerate(texts):
+            if isinstance(t, str):
+                for s in sentences(t):
+                    w = _ALPHA.findall(s.lower())
+                    if w:
+                        words += w
+                        lengths.append(len(w))
+                        per_doc[k] += 1
+        h = hashed(words)
+        size = np.array(lengths, np.int64)
+        ends = np.cumsum(size)
+        shift = np.uint64(64 - BITS)
         with np.errstate(over="ignore"):
-            h = np.concatenate([mix(h, 1), mix(h[:-1] * np.uint64(3) + h[1:], 2)])
-    else:
-        h = mix(h, 1)
-    return (h >> np.uint64(64 - BITS)).astype(np.int64)
+            pairs = (mix(h * np.uint64(3) + np.concatenate([h[1:], h[:1]]), 2) >> shift).astype(np.int32) if len(h) else np.zeros(0, np.int32)
+        pairs[ends - 1] = DUMMY
+        return Bags((mix(h, 1) >> shift).astype(np.int32), pairs, ends - size, per_doc)
+
+    def scores(self, weights: np.ndarray) -> np.ndarray:
+        """Score of every sentence for every subject."""
+        if not len(self.starts):
+            return np.zeros((0, weights.shape[1]), weights.dtype)
+        return np.add.reduceat(weights[self.words] + weights[self.pairs], self.starts, axis=0)
+
+    def rows(self, by_document: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(feature, row) of all features but DUMMY; rows are documents or sentences."""
+        n = np.diff(np.concatenate([self.starts, [len(self.words)]]))
+        row = np.repeat(np.arange(len(n)), n)
+        if by_document:
+            row = np.repeat(np.arange(len(self.sentences)), self.sentences)[row]
+        f, r = np.concatenate([self.words, self.pairs]), np.concatenate([row, row])
+        keep = f != DUMMY
+        return f[keep].astype(np.int64), r[keep]
 
 
 @dataclass
@@ -62,20 +102,15 @@ class SubjectModel:
     least_sentences: int = 2
     least_share: float = 0.25
 
-    def counts(self, docs: list[list[np.ndarray]], strength: float | None = None) -> np.ndarray:
+    def counts(self, bags: Bags, strength: float | None = None, scores: np.ndarray | None = None) -> np.ndarray:
         """Sentences about each subject, per document (one row each)."""
-        at = self.strength if strength is None else strength
-        out = np.zeros((len(docs), len(self.subjects)), np.int32)
-        rows = [(k, f) for k, d in enumerate(docs) for f in d if len(f)]
-        if not rows:
-            return out
-        sizes = np.array([len(f) for _, f in rows])
-        flat = np.concatenate([f for _, f in rows])
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        z = np.add.reduceat(self.weights[flat], starts, axis=0)
-        best = z.argmax(axis=1)
-        ok = z[np.arange(len(z)), best] > at
-        np.add.at(out, (np.array([k for k, _ in rows])[ok], best[ok]), 1)
+        z = bags.scores(self.weights) if scores is None else scores
+        out = np.zeros((len(bags.sentences), len(self.subjects)), np.int32)
+        if len(z):
+            best = z.argmax(axis=1)
+            ok = z[np.arange(len(z)), best] > (self.strength if strength is None else strength)
+            doc = np.repeat(np.arange(len(bags.sentences)), bags.sentences)
+            np.add.at(out, (doc[ok], best[ok]), 1)
         return out
 
     def decide(self, counts: np.ndarray, sizes: np.ndarray, least: int | None = None, share: float | None = None) -> np.ndarray:
@@ -85,48 +120,55 @@ class SubjectModel:
         return enough & (counts / total >= (self.least_share if share is None else share)) & (counts > 0)
 
 
-def _features_of(texts, hashed: WordHash) -> list[list[np.ndarray]]:
-    return [[features(hashed(w)) for s in sentences(t) if (w := [x for x in words_of(s) if not x.isdigit()])] if isinstance(t, str) else [] for t in texts]
-
-
-def _fit_sentences(docs: list[list[np.ndarray]], y: np.ndarray, sure: float = 4.0, none: float = 2.0) -> np.ndarray:
+def _fit_sentences(bags: Bags, y: np.ndarray, sure: float = 4.0, none: float = 2.0) -> np.ndarray:
     """Weights that score sentences: the document classifiers label those they are sure of, as a subject of their document or as none."""
-    w = _fit(docs, y)
-    parts, targets = [], []
-    for d, t in zip(docs, y):
-        for f in d:
-            z = w[f].sum(axis=0)
-            k = int(z.argmax())
-            if z[k] >= sure and t[k]:
-                parts.append([f])
-                targets.append(np.arange(y.shape[1]) == k)
-            elif z[k] < none:
-                parts.append([f])
-                targets.append(np.zeros(y.shape[1], bool))
-    return _fit(parts, np.array(targets, float), epochs=3) if parts else w
-
-
-def _fit(docs: list[list[np.ndarray]], y: np.ndarray, epochs: int = 8, rate: float = 0.3, shrink: float = 1e-5, least_docs: int = 3) -> np.ndarray:
-    bags = [np.unique(np.concatenate(d), return_counts=True) if d else (np.zeros(0, np.int64), np.zeros(0)) for d in docs]
-    n_docs = np.zeros(1 << BITS)
-    for u, _ in bags:
-        n_docs[u] += 1
-    known = n_docs >= least_docs  # rarer features are names, not subjects
-    w, b, g2 = np.zeros((1 << BITS, y.shape[1])), np.full(y.shape[1], -2.0), np.full((1 << BITS, y.shape[1]), 1e-2)
+    w = _fit(*bags.rows(True), y, batch=16)
+    z = bags.scores(w)
+    doc = np.repeat(np.arange(len(bags.sentences)), bags.sentences)
+    best = z.argmax(axis=1)
+    top = z[np.arange(len(z)), best]
+    yes = (top >= sure) & (y[doc, best] > 0)
+    used = yes | (top < none)
+    if not yes.any():
+        return w
+    target = np.zeros((len(z), y.shape[1]))
+    target[np.flatnonzero(yes), best[yes]] = 1
+    f, r = bags.rows(False)
+    new = np.cumsum(used) - 1
+    keep = used[r]
+    return _fit(f[keep], new[r[keep]], target[used], epochs=4, batch=64)
+
+
+def _fit(feature: np.ndarray, row: np.ndarray, y: np.ndarray, epochs: int = 10, batch: int = 16, rate: float = 0.3, shrink: float = 1e-5, least_rows: int = 3) -> np.ndarray:
+    """One-versus-rest logistic regression on square-root counts of unit length, by AdaGrad in small batches; weights of features in fewer than ``least_rows`` rows stay 0, as names are no subjects."""
+    size = DUMMY + 1
+    key, count = np.unique(row.astype(np.int64) * size + feature, return_counts=True)
+    row, feature = key // size, key % size
+    known = np.bincount(feature, minlength=size) >= least_rows
+    m = known[feature]
+    row, feature, value = row[m], feature[m], np.sqrt(count[m])
+    value = value / np.sqrt(np.bincount(row, value * value, minlength=len(y)))[row]
+    first = np.searchsorted(row, np.arange(len(y) + 1))
+    share = np.clip(y.mean(axis=0), 0.01, 0.99)
+    w, b, g2 = np.zeros((size, y.shape[1])), np.log(share / (1 - share)), np.full((size, y.shape[1]), 1e-2)
     rng = np.random.default_rng(0)
+    has = np.flatnonzero(np.diff(first))
     for _ in range(epochs):
-        for j in rng.permutation(len(bags)):
-            u, c = bags[j]
-            m = known[u]
-            u, c = u[m], np.sqrt(c[m])
-            if not len(u):
-                continue
-            v = c / np.sqrt((c * c).sum())
-            err = 1 / (1 + np.exp(-(v @ w[u] + b))) - y[j]
-            g = np.outer(v, err) + shrink * w[u]
+        order = rng.permutation(has)
+        for k in range(0, len(order), batch):
+            rows = order[k : k + batch]
+            n = first[rows + 1] - first[rows]
+            starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+            at = np.repeat(first[rows] - starts, n) + np.arange(n.sum())
+            f, v = feature[at], value[at, None]
+            err = 1 / (1 + np.exp(-(np.add.reduceat(v * w[f], starts, axis=0) + b))) - y[rows]
+            u, inv = np.unique(f, return_inverse=True)
+            g = np.zeros((len(u), y.shape[1]))
+            np.add.at(g, inv, v * np.repeat(err, n, axis=0))
+            g += shrink * w[u]
             g2[u] += g * g
             w[u] -= rate * g / np.sqrt(g2[u])
-            b -= 0.02 * err
+            b -= 0.02 * err.sum(axis=0) / np.sqrt(batch)
     return w
 
 
@@ -142,22 +184,23 @@ def fit_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, m
     names = sorted(r.subject for r in known.collect())
     if not rows or not names:
         return None
-    docs = _features_of([r.text for r in rows], WordHash())
-    y = np.array([[s in r.subjects for s in names] for r in rows], float)
-    held = np.arange(len(rows)) % 4 == 0 if len(rows) >= 40 else np.ones(len(rows), bool)
-    fit = [k for k in range(len(rows)) if not held[k]] or list(range(len(rows)))
-    m = SubjectModel(names, _fit_sentences([docs[k] for k in fit], y[fit]).astype(np.float32))
-    best, truth, test = -1.0, y[held], [docs[k] for k in np.flatnonzero(held)]
-    sizes = np.array([len(d) for d in test])
-    for strength in (6.0, 5.0, 4.0, 3.0, 2.0, 1.0):  # of equals the strictest
-        c = m.counts(test, strength)
-        for least in (3, 2, 1):
+    y = np.array([[x in r.subjects for x in names] for r in rows], float)
+    held = np.arange(len(rows)) % 4 == 0 if len(rows) >= 40 else np.zeros(len(rows), bool)
+    hashed = WordHash()
+    part = lambda m: Bags.of([r.text for r, x in zip(rows, m) if x], hashed)
+    m = SubjectModel(names, _fit_sentences(part(~held), y[~held]).astype(np.float32))
+    if not held.any():
+        return m
+    best, truth, test = -1.0, y[held], part(held)
+    scores = test.scores(m.weights)
+    for strength in (4.0, 3.0, 2.0, 1.0):  # of equals the strictest
+        c = m.counts(test, strength, scores)
+        for least in (2, 3, 1):
             for share in (0.35, 0.3, 0.25, 0.2, 0.15):
-                p = m.decide(c, sizes, least, share)
+                p = m.decide(c, test.sentences, least, share)
                 f1 = 2 * (p * truth).sum() / max(1.0, p.sum() + truth.sum())
                 if f1 > best + 0.003:
                     best, m.strength, m.least_sentences, m.least_share = f1, strength, least, share
-    m.weights = _fit_sentences(docs, y).astype(np.float32)  # thresholds stay, the weights now use the whole sample
     return m
 
 
@@ -178,8 +221,8 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, hashed = shared.value, WordHash()
         for b in batches:
-            docs = _features_of(b["text"], hashed)
-            hit = m.decide(m.counts(docs), np.array([len(d) for d in docs]))
+            bags = Bags.of(list(b["text"]), hashed)
+            hit = m.decide(m.counts(bags), bags.sentences)
             r, c = np.nonzero(hit)
             yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[r], "subject": np.array(m.subjects, dtype=object)[c]})
 
