@@ -126,3 +126,18 @@ def clean_markdown(s: Column) -> Column:
 def lines(text: Column) -> Column:
     """Lines of a text; a final line end opens no further line."""
     return F.split(F.regexp_replace(text, rf"(?:{LINE_ENDS})\z", ""), LINE_ENDS, -1)
+
+
+def strip_fence(s: Column) -> Column:
+    """A reply without the code fence around it."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"^\s+|\s+$", ""), r"^```(?:\w+)?[ \t]*\n?", ""), r"\n?```\s*$", "")
+
+
+def safe_path(p: Column) -> Column:
+    """Whether a name stays inside its folder: no leading slash, no step upwards."""
+    return ~(p.startswith("/") | p.contains(".."))
+
+
+def repair_header(text: Column) -> Column:
+    """Front matter whose title is quoted; the rest stays as it is."""
+    return F.regexp_replace(text, r'(?m)\A(---\n(?:(?!---$)[^\n]*\n)*?title:[ \t]*)(?!["\s])([^\n]*?)[ \t]*$', '$1"$2"')

@@ -84,3 +84,36 @@ def log_tail(log: DataFrame, recent: int, text: str = "text") -> DataFrame:
     n = F.size(parts) - 1
     keep = F.when((F.lit(recent) == 0) | (F.lit(recent) >= n), parts).otherwise(F.concat(F.slice(parts, 1, 1), F.slice(parts, -recent, recent) if recent else parts))
     return log.withColumn("tail", F.array_join(keep, ""))
+
+
+# Names that no page may take.
+RESERVED = ["log", "index", "conventions"]
+
+
+def upsert_pages(pages: DataFrame, new: DataFrame, key: str = "name", at: str = "updated") -> DataFrame:
+    """``pages`` with ``new`` put in; of one name the latest stays, of equal times the new one. Reserved and unsafe names are left out."""
+    ok = new.filter(t.safe_path(F.col(key)) & ~F.col(key).isin(*RESERVED))
+    both = pages.withColumn("__new", F.lit(0)).unionByName(ok.withColumn("__new", F.lit(1)))
+    return both.groupBy(key).agg(F.max_by(F.struct(*[c for c in pages.columns if c != key]), F.struct(at, "__new")).alias("r")).select(key, "r.*").select(*pages.columns)
+
+
+def delete_pages(pages: DataFrame, names: DataFrame, key: str = "name") -> DataFrame:
+    """``pages`` without those named."""
+    return pages.join(names.select(key), key, "left_anti")
+
+
+def related(queries: DataFrame, docs: DataFrame, most: int = 5) -> DataFrame:
+    """query_id, doc_id, rank: for each query the first ``most`` documents with a line that contains its phrase.
+
+    Phrases are matched through their rarest word: documents are exploded to
+    words and equi-joined, and only these pairs are tested for the phrase.
+    """
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    d = docs.select("doc_id", F.explode(words(F.col("text"))).alias("w"))
+    q = queries.select("query_id", "phrase", F.explode(words(F.col("phrase"))).alias("w"))
+    df = d.join(q.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    rare = q.join(df, "w", "left").groupBy("query_id", "phrase").agg(F.min_by("w", F.struct(F.coalesce("df", F.lit(0)), "w")).alias("w"))
+    pairs = d.join(rare, "w").select("query_id", "phrase", "doc_id").join(docs.select("doc_id", F.lower("text").alias("t")), "doc_id")
+    hit = pairs.filter(F.col("t").contains(F.lower("phrase"))).select("query_id", "doc_id")
+    k = F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))
+    return hit.withColumn("rank", k).filter(F.col("rank") <= most)
