@@ -85,7 +85,8 @@ def visible_lines(text: str) -> list[str]:
             if at < 0:
                 out.append("")
                 continue
-            s, until = s[at + len(until) :], None
+            end = at + 3 if until == "-->" else s.find(">", at) + 1 or len(s)
+            s, until = s[end:], None
         s = _HIDDEN.sub(" ", s)
         if m := _OPENS.search(s):
             until = f"</{m.group(1).lower()}" if m.group(1) else "-->"

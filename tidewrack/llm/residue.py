@@ -41,7 +41,7 @@ BROADCAST_IDS = 300_000
 
 # Forms of unfilled slots.
 SLOT = re.compile(
-    r"\{\{\{?[^{}]{1,60}\}?\}\}|\{%[^%]{1,60}%\}|<%[=-]?[^%]{1,60}%>|<<[^<>]{1,60}>>|%%[^%\s]{1,60}%%|@@[^@\s]{1,60}@@|\*\|[^|]{1,60}\|\*|(?<!\w)__\w[\w .]{0,58}?__(?!\w)|[$#]\{[^{}]{1,60}\}|\[(?=[A-Za-z])[A-Za-z][A-Za-z_.]{1,40}\](?![(\w])"
+    r"(?=[{<%@*_$#\[])(?:\{\{\{?[^{}]{1,60}\}?\}\}|\{%[^%]{1,60}%\}|<%[=-]?[^%]{1,60}%>|<<[^<>]{1,60}>>|%%[^%\s]{1,60}%%|@@[^@\s]{1,60}@@|\*\|[^|]{1,60}\|\*|(?<!\w)__\w[\w .]{0,58}?__(?!\w)|[$#]\{[^{}]{1,60}\}|\[(?=[A-Za-z])[A-Za-z][A-Za-z_.]{1,40}\](?![(\w]))"
 )
 SLOT_SHARE = 0.08
 # Sentences of residue, by their beginnings, in English, German, French and Spanish.
@@ -88,20 +88,28 @@ def core_text(text: str) -> str:
     return "\n".join(s for s in visible_lines(t) if s and not _furniture(s))
 
 
-def is_residue(core: str) -> bool:
-    """Whether the whole of a core is residue by its wording."""
-    words = core.split()
+def _sentences(core: str) -> Iterator[str]:
+    a = 0
+    for m in _SENTENCES.finditer(core):
+        yield core[a : m.start()]
+        a = m.end()
+    yield core[a:]
+
+
+def is_residue(core: str, words: list[str] | None = None) -> bool:
+    """Whether the whole of a core is residue by its wording; ``words`` are its words, where they are known."""
+    words = words_of(core) if words is None else words
     if not words:
         return False
-    slots = core.count(_SLOT_MARK)
+    slots = words.count(_SLOT_MARK)
     if slots and slots >= SLOT_SHARE * len(words):
         return True
-    plain = [w for w in words_of(core) if not w.isdigit()]
-    if plain and sum(w in LATIN for w in plain) >= 0.6 * len(plain) and ("lorem" in plain or "ipsum" in plain or len(plain) >= 5):
+    plain = [w for w in words if w.isalpha()]
+    if plain and sum(map(LATIN.__contains__, plain)) >= 0.6 * len(plain) and ("lorem" in plain or "ipsum" in plain or len(plain) >= 5):
         return True
     # a sentence of a real text may quote residue; residue has no other sentences
     good = bad = 0
-    for s in _SENTENCES.split(core):
+    for s in _sentences(core):
         s = _IDS.sub(" ", f"{s} ").strip(" .!?…;:–-#*")
         n = sum(not w.isdigit() for w in words_of(s))
         if n == 0 or _TAIL.match(s):
@@ -124,8 +132,8 @@ class CoreHash(WordHash):
         return super().word("0" if w.isdigit() or (len(w) >= 6 and _HEX.match(w)) else w)
 
 
-def _core_hashes(core: str, hashed: CoreHash) -> np.ndarray:
-    return np.unique(shingles(hashed(words_of(core)), SHINGLE))
+def _core_hashes(words: list[str], hashed: CoreHash) -> np.ndarray:
+    return np.unique(shingles(hashed(words), SHINGLE))
 
 
 def simhash(s: np.ndarray) -> int:
@@ -143,11 +151,12 @@ def _nodes(texts: DataFrame) -> DataFrame:
             rows = []
             for tbl, i, t in zip(b["tbl"], b["rec_id"], b["text"]):
                 core = core_text(t)
-                s = _core_hashes(core, hashed)
-                if len(s):
+                w = words_of(core)
+                if w:
+                    s = _core_hashes(w, hashed)
                     whole = xxhash.xxh128_digest(s.tobytes())
                     k1, k2 = np.frombuffer(whole, np.int64)
-                    rows.append((tbl, i, is_residue(core), int(k1), int(k2), simhash(s), len(s)))
+                    rows.append((tbl, i, is_residue(core, w), int(k1), int(k2), simhash(s), len(s)))
             yield pd.DataFrame(rows, columns=["tbl", "rec_id", "trusted", "k1", "k2", "print", "n"])
 
     return texts.mapInPandas(run, "tbl string, rec_id bigint, trusted boolean, k1 bigint, k2 bigint, print bigint, n int")
@@ -210,7 +219,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashed = CoreHash()
         for b in batches:
-            sets = [_core_hashes(core_text(t), hashed).view(np.int64) for t in b["text"]]
+            sets = [_core_hashes(words_of(core_text(t)), hashed).view(np.int64) for t in b["text"]]
             yield pd.DataFrame({"tbl": b["tbl"], "rec_id": b["rec_id"], "s": pd.Series(sets, dtype=object, index=b.index)})
 
     sets = texts.join(side, ["tbl", "rec_id"], "left_semi").mapInPandas(run, "tbl string, rec_id bigint, s array<bigint>")
