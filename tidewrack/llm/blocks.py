@@ -2,7 +2,7 @@
 
 A recurrent block labeller. A page is the sequence of its lines with visible
 text; each is read as a vector of its hashed words, its hashed tag path and a
-few shapes. A bidirectional LSTM (plain numpy) reads the sequence both ways,
+few shapes, among them whether its wording alone tells furniture. A bidirectional LSTM (plain numpy) reads the sequence both ways,
 so that every line is classified with the whole page as context, and a
 logistic layer says whether the line is furniture.
 
@@ -16,22 +16,24 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewrack.llm.furniture import visible_lines, weak_labels
+from tidewrack.llm.furniture import is_furniture, visible_lines, weak_labels
 from tidewrack.llm.words import WordHash, mix, words_of
 from tidewrack.session import work_slots
 
 WORD_BITS, WORD_DIM = 12, 16
 PATH_BITS, PATH_DIM = 8, 4
-SHAPES, HIDDEN = 12, 16
+SHAPES, HIDDEN = 13, 16
 #: Pages of each table that the network is trained on, taken in order of a hash of their ids.
 MAX_PAGES = 700
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)\b[^>]*?(/?)>")
+_worded = lru_cache(maxsize=200_000)(is_furniture)
 _VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "area", "base", "col", "source"}
 _INLINE = {"a", "b", "i", "em", "strong", "span", "u", "small", "code"}
 
@@ -74,7 +76,7 @@ def page_blocks(text: str, hashed: WordHash) -> tuple[np.ndarray, list[np.ndarra
         path_ids.append(paths[k])
         n = len(s)
         shapes[r] = (
-            min(n, 400) / 200, min(len(w), 60) / 30, s[-1] in ".!?…", s[-1] == ":", sum(map(s.count, "|·•>")) / (1 + len(w)), s[0] in "*-»›•", s[0] == "#", "](" in s or "http" in s, any(c.isdigit() for c in s), 2 * r / max(1, len(nos) - 1) - 1, " > " in s, 0 < s.find(":") < 22,
+            min(n, 400) / 200, min(len(w), 60) / 30, s[-1] in ".!?…", s[-1] == ":", sum(map(s.count, "|·•>")) / (1 + len(w)), s[0] in "*-»›•", s[0] == "#", "](" in s or "http" in s, any(c.isdigit() for c in s), 2 * r / max(1, len(nos) - 1) - 1, " > " in s, 0 < s.find(":") < 22, _worded(s),
         )
     p = (mix(hashed(path_ids), 6) >> np.uint64(64 - PATH_BITS)).astype(np.int32) if path_ids else np.zeros(0, np.int32)
     return np.array(nos, np.int32) + 1, words, p, shapes, texts
@@ -214,6 +216,10 @@ def fit_block_labeller(texts: list[str], seed: int = 0) -> BlockLabeller | None:
             labels.append(np.array(weak_labels(shown), np.float32))
     if not pages:
         return None
+    rng = np.random.default_rng(seed)
+    for _, _, shapes in pages:
+        if rng.random() < 0.4:
+            shapes[:, -1] = 0  # without the wording cue, words and context must do
     m = BlockLabeller(seed)
     m.train(pages, labels)
     return m

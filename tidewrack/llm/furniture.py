@@ -57,7 +57,7 @@ CONTAINING = [
 ]
 # Heads of lists of other articles, and pointers to one other article.
 RELATED_HEAD = r"(?:you may also like|related(?: posts| articles)?|most read(?: this week)?|recommended for you|more from .+|read next|popular(?: posts)?|lo más leído|más de .+|también le puede interesar|à lire aussi|les plus lus|plus de .+|meistgelesen|das könnte sie auch interessieren|mehr (?:von|aus) .+|vous aimerez aussi|auch interessant|weitere artikel|notas relacionadas|trending(?: now)?)"
-POINTER = r"(?:more|read (?:more|also|next)|see also|lire aussi|à lire aussi|voir aussi|lea también|léase también|más|vea también|mehr(?: dazu)?|lesen sie auch|siehe auch|mehr zum thema)\s?:\s.+"
+POINTER = r"(?:(?:more|read (?:more|also|next)|see also|lire aussi|à lire aussi|voir aussi|lea también|léase también|más|vea también|véase también|mehr(?: dazu)?|lesen sie auch|siehe auch|mehr zum thema)\s?:|(?:read (?:also|next)|see also|lire aussi|à lire aussi|voir aussi|lea también|vea también|véase también|lesen sie auch|siehe auch)\s?[–—-])\s.+"
 _WHOLE = re.compile(r"^(?:" + "|".join(WHOLE_LINE) + r")\s*$", re.I)
 _CONTAINING = [(w, re.compile(f"^{p}$", re.I)) for w, p in CONTAINING]
 _RELATED = re.compile(rf"^{RELATED_HEAD}\s*$", re.I)
@@ -120,7 +120,7 @@ def is_furniture(s: str) -> bool:
         return True
     if len(s) > 200:
         return False
-    return bool(_RELATED.match(s) or (":" in s and _POINTER.match(s)) or (" > " in s and _CRUMB.match(s)) or is_menu(s))
+    return bool(_RELATED.match(s) or _POINTER.match(s) or (" > " in s and _CRUMB.match(s)) or is_menu(s))
 
 
 def weak_labels(lines: list[str]) -> list[int]:
