@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewrack.functions.dates import ABBREVIATIONS, FORMS, MONTHS
 from tidewrack.operators.timestamps import found_timestamps
 from tidewrack.operators.upsert import repeated_deliveries
 from tidewrack.tables import table
@@ -17,6 +18,29 @@ def p7_found(spark: SparkSession, data_dir: str) -> DataFrame:
     return found_timestamps(*(table(spark, data_dir, t) for t in ("items", "feed_results", "messages", "feeds")))
 
 
+def _sql_dates() -> str:
+    """The written forms are shared with the operator; evaluation and time zones are the database's own."""
+    import re
+
+    quote = lambda x: x.replace("'", "''")
+    form = " ".join(f"WHEN regexp_matches(s, '{quote(p)}') THEN regexp_replace(s, '{quote(p)}', '{re.sub(chr(92) + '$([0-9])', chr(92) * 2 + chr(92) + '1', to)}')" for p, to in FORMS).replace("\\\\", "\\")
+    months = ", ".join(f"'{w}': {m}" for m, ws in MONTHS.items() for w in ws.split())
+    short = ", ".join(f"'{k}': {v * 60}" for k, v in ABBREVIATIONS.items())
+    return f"""
+        WITH r AS (SELECT 'items' AS tbl, item_id AS rec_id, date, tz AS zone FROM items LEFT JOIN feeds USING (feed_id)
+          UNION ALL SELECT 'feed_results', result_id, date, tz FROM feed_results LEFT JOIN feeds USING (feed_id)
+          UNION ALL SELECT 'messages', delivery_id, date, headers['X-Origin-Zone'] FROM messages),
+        c AS (SELECT tbl, rec_id, zone, trim(regexp_replace(date, '\\s+', ' ', 'g')) AS s FROM r WHERE date IS NOT NULL),
+        p AS (SELECT *, string_split(CASE {form} END, '|') AS p FROM c),
+        q AS (SELECT *, CAST(try_strptime(p[1] || '-' || lpad(CAST(coalesce(try_cast(p[2] AS INT), MAP {{{months}}}[lower(p[2])]) AS VARCHAR), 2, '0') || '-' || lpad(p[3], 2, '0'), '%Y-%m-%d') AS TIMESTAMP) AS day,
+            p[4] <> '' AS timed, CASE lower(p[7]) WHEN 'p' THEN try_cast(p[4] AS INT) % 12 + 12 WHEN 'a' THEN try_cast(p[4] AS INT) % 12 ELSE try_cast(p[4] AS INT) END AS h, try_cast(p[5] AS INT) AS mi, coalesce(try_cast(p[6] AS INT), 0) AS sec,
+            coalesce(CASE WHEN p[8] <> '' THEN (CASE WHEN p[8][1] = '-' THEN -1 ELSE 1 END) * (CAST(p[8][2:3] AS INT) * 3600 + coalesce(try_cast(replace(p[8], ':', '')[4:5] AS INT), 0) * 60) END, MAP {{{short}}}[lower(p[9])]) AS off FROM p),
+        t AS (SELECT tbl, rec_id, timed, off, day + to_seconds(h * 3600 + mi * 60 + sec) AS local, day, coalesce(nullif(p[9], ''), zone, 'UTC') AS zone FROM q WHERE NOT regexp_matches(s, '^(\\d{{10}}|\\d{{13}})$') AND day IS NOT NULL AND (NOT timed OR (h <= 23 AND mi <= 59 AND sec <= 59)))
+        SELECT tbl, rec_id, CASE WHEN NOT timed THEN strftime(day, '%Y-%m-%d') WHEN off IS NOT NULL THEN strftime(local - to_seconds(off), '%Y-%m-%dT%H:%M:%SZ') ELSE strftime(timezone('UTC', timezone(zone, local)), '%Y-%m-%dT%H:%M:%SZ') END AS utc FROM t
+        UNION ALL SELECT tbl, rec_id, strftime(make_timestamp(CAST(s[1:10] AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M:%SZ') FROM c WHERE regexp_matches(s, '^(\\d{{10}}|\\d{{13}})$')
+    """
+
+
 QUERIES = {"p6_found": p6_found, "p7_found": p7_found}
 
 ORACLE = {
@@ -33,4 +57,5 @@ ORACLE = {
           SELECT delivery_id, mid, row_number() OVER (PARTITION BY mid ORDER BY received_at NULLS LAST, delivery_id) AS k FROM norm WHERE mid IS NOT NULL)
         SELECT delivery_id FROM ranked WHERE k > 1
     """,
+    "p7_found": _sql_dates(),
 }
