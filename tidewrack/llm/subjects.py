@@ -122,7 +122,9 @@ class SubjectModel:
 
 def _fit_sentences(bags: Bags, y: np.ndarray, sure: float = 4.0, none: float = 2.0) -> np.ndarray:
     """Weights that score sentences: the document classifiers label those they are sure of, as a subject of their document or as none."""
-    w = _fit(*bags.rows(True), y, batch=16)
+    f, r = bags.rows(True)
+    known = _specific(f, r, y)
+    w = _fit(f[known[f]], r[known[f]], y, batch=16)
     z = bags.scores(w)
     doc = np.repeat(np.arange(len(bags.sentences)), bags.sentences)
     best = z.argmax(axis=1)
@@ -135,10 +137,30 @@ def _fit_sentences(bags: Bags, y: np.ndarray, sure: float = 4.0, none: float = 2
     target[np.flatnonzero(yes), best[yes]] = 1
     f, r = bags.rows(False)
     new = np.cumsum(used) - 1
-    keep = used[r]
+    keep = used[r] & known[f]
     return _fit(f[keep], new[r[keep]], target[used], epochs=4, batch=64)
 
 
+def _specific(feature: np.ndarray, row: np.ndarray, y: np.ndarray, least_rows: int = 3, least_lift: float = 4.0, prior_rows: float = 4.0) -> np.ndarray:
+    """Which features tell a subject at all: in enough documents, and with one subject far above its share.
+
+    Everyday wording occurs with all subjects alike; left in, small chance
+    correlations of its many occurrences would add up to a subject. The odds of
+    the subject given the feature, drawn towards its general odds by
+    ``prior_rows``, must exceed these ``least_lift`` times.
+    """
+    size = DUMMY + 1
+    key = np.unique(row.astype(np.int64) * size + feature)
+    row, feature = key // size, key % size
+    n = np.bincount(feature, minlength=size)
+    lift = np.zeros(size)
+    for c in range(y.shape[1]):
+        share = np.clip(y[:, c].mean(), 0.001, 0.999)
+        k = np.bincount(feature, y[row, c], minlength=size)
+        lift = np.maximum(lift, (k + prior_rows * share) / (n - k + prior_rows * (1 - share)) / (share / (1 - share)))
+    return (n >= least_rows) & (lift >= least_lift)
+
+
 def _fit(feature: np.ndarray, row: np.ndarray, y: np.ndarray, epochs: int = 10, batch: int = 16, rate: float = 0.3, shrink: float = 1e-5, least_rows: int = 3) -> np.ndarray:
     """One-versus-rest logistic regression on square-root counts of unit length, by AdaGrad in small batches; weights of features in fewer than ``least_rows`` rows stay 0, as names are no subjects."""
     size = DUMMY + 1
