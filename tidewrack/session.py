@@ -20,16 +20,21 @@ def session(app: str = "tidewrack", master: str | None = None, partitions: int |
     return b.getOrCreate()
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share, from ``spark.checkpoint.dir``.
 
     Only where the setting is absent (tests on one machine) a temporary folder
-    is made and set for the rest of the session.
+    is made, once for the application.
     """
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="tidewrack-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        app = spark.sparkContext.applicationId
+        if app not in _own_dirs:
+            _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="tidewrack-")
+        at = _own_dirs[app]
     return at.rstrip("/")
 
 
@@ -67,3 +72,8 @@ def work_slots(spark: SparkSession, per_core: int = 2) -> int:
 def tokenizer_dir() -> str:
     """Folder with the public vocabulary files; ``TIDEWRACK_TOKENIZERS`` overrides it."""
     return os.environ.get("TIDEWRACK_TOKENIZERS", "/opt/tokenizers")
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete all stage tables of this application; call it when its results are written."""
+    drop_path(spark, f"{shared_dir(spark)}/tidewrack/{spark.sparkContext.applicationId}")
