@@ -63,13 +63,12 @@ _NOTICE_START = re.compile(
     r"(?:diese|dieses) (?:nachricht|e-?mail|schreiben)\b|der inhalt dieser|ce (?:message|courriel|mail)\b|este (?:mensaje|correo)\b|.{2,40} is registered in\b|.{2,40}, (?:sitz |registered )|.{2,40}, (?:n°|núm\.|nr\.|no\.) ?\d|.{2,60}, (?:n°|núm\.) )",
     re.I,
 )
-_LEGAL = re.compile(
-    r"confidential|privileged|legally protected|intended (?:reader|recipient)|named recipient|addressee|by mistake|in error|destroy all copies|delete it|tell the sender|inform us|unlawful|not allowed|unauthori[sz]ed|accepts? no liability|not secure|registered in|under no\.|not those of|environment before you print|print this|attachment|"
-    r"vertraulich|geschützt|adressat|empfänger|irrtum|löschen sie|haftet nicht|weitergabe|untersagt|registernummer|sitz |umwelt|"
-    r"confidentiel|protégé|destinataire|erreur|détruire|prévenir|responsabilité|l'expéditeur|désigné|n° ?\d|"
-    r"reservado|destinatario|por error|bórrelo|remitente|responsabilidad|núm\. ?\d|se dirige solo",
-    re.I,
-)
+_LEGAL = [
+    "confidential", "privileged", "legally protected", "intended reader", "intended recipient", "named recipient", "addressee", "by mistake", "in error", "destroy all copies", "delete it", "tell the sender", "inform us", "unlawful", "not allowed", "unauthorised", "unauthorized", "accept no liability", "accepts no liability", "not secure", "registered in", "under no.", "not those of", "environment before you print", "print this", "attachment",
+    "vertraulich", "geschützt", "adressat", "empfänger", "irrtum", "löschen sie", "haftet nicht", "weitergabe", "untersagt", "registernummer", "sitz ", "umwelt",
+    "confidentiel", "protégé", "destinataire", "erreur", "détruire", "prévenir", "responsabilité", "l'expéditeur", "désigné", "n° ",
+    "reservado", "destinatario", "por error", "bórrelo", "remitente", "responsabilidad", "núm. ", "se dirige solo",
+]
 _SENTENCE = re.compile(r"[.!?…]['\"»”)]?\s*$")
 
 # Log-weights. Rows of line cues: authored, prefixed, headed, signature, notice.
@@ -87,6 +86,12 @@ _W_LEGAL = np.array([-3.5, -5.0, -0.4, -4.0, 1.5])
 _START_WITHOUT_CUE = np.array([-1.0, -3.0, -9.0, -5.0, -5.0])
 
 
+def _legal(s: str) -> int:
+    """Number of words of notices in a line."""
+    low = s.lower()
+    return sum(w in low for w in _LEGAL)
+
+
 def _lookahead(lines: list[str], k: int) -> tuple[bool, int]:
     """Whether an attribution starts at line ``k``, on one to three wrapped lines, and on how many."""
     joined = ""
@@ -101,11 +106,29 @@ def _lookahead(lines: list[str], k: int) -> tuple[bool, int]:
     return False, 0
 
 
+def _near(lines: list[str], heads: list[bool], k: int) -> int:
+    """How many of the three lines with text from ``k`` on look like a mail's head."""
+    return sum(heads[i] for i in [i for i in range(k, min(len(lines), k + 6)) if lines[i].strip()][:3])
+
+
 def _told(s: str) -> bool:
     """An attribution names a date, an address or a person, and little else."""
     return bool(re.search(r"\d{1,4}[-./:]\d|@|\d{4}|^\S+ \S+ (?:said|wrote|schrieb|escribió)\s?:$|^\S+ \S+ a écrit\s?:$|wrote on|schrieb am|^\S+(?: \S+)?(?: <\S+>)? (?:said|wrote|schrieb|a écrit|escribió)\b", s, re.I))
 
 
+_EACH = np.arange(5)
+# Log-weights of a kind (row) being followed by another; a headed quotation runs to the end or to a notice.
+_FOLLOW = np.array(
+    [
+        [-3.0, -0.2, -0.2, -0.2, -0.2],
+        [-0.2, -3.0, -0.2, -0.2, -0.2],
+        [-7.0, -7.0, -3.0, -7.0, 0.0],
+        [-2.0, -0.2, -0.2, -3.0, -0.2],
+        [-2.0, -0.2, -0.2, -0.2, -3.0],
+    ]
+)
+
+
 def decode(text: str) -> list[str]:
     """The kind of each line of ``text`` split at line feeds: authored, quoted, signature or notice. Blank lines take their span's kind."""
     lines = text.split("\n")
@@ -140,11 +163,10 @@ def decode(text: str) -> list[str]:
             k += m
             continue
         plain[k + 1] = 1
-        near = sum(heads[i] for i in [i for i in range(k, min(n, k + 6)) if lines[i].strip()][:3])
         if _FORWARD.match(s):
             e[k + 1] = _W_LINE_HEAD
             start[k, HEADED] = 6.0
-        elif heads[k] and (near >= 2 or (k > 0 and sum(heads[max(0, k - 4) : k]) >= 1 and e[k][HEADED] > 0)):
+        elif heads[k] and (_near(lines, heads, k) >= 2 or (k > 0 and sum(heads[max(0, k - 4) : k]) >= 1 and e[k][HEADED] > 0)):
             e[k + 1] = _W_LINE_HEAD
             start[k, HEADED] = 5.0
         elif _CLOSING.match(s):
@@ -163,11 +185,11 @@ def decode(text: str) -> list[str]:
             e[k + 1] = _W_DEVICE
             start[k, SIGNATURE] = 3.0
         else:
-            legal = len(_LEGAL.findall(s))
+            legal = _legal(s)
             opens = bool(_NOTICE_START.match(s))
             if legal or opens:
                 joined = " ".join(lines[k : k + 4])
-                strong = len(_LEGAL.findall(joined)) >= 2 or bool(re.search(r"environment before you print|not those of", joined, re.I))
+                strong = _legal(joined) >= 2 or bool(re.search(r"environment before you print|not those of", joined, re.I))
                 e[k + 1] = _W_LEGAL if legal and strong else _W_PLAIN + np.array([0, 0, 0, 0, 1.0])
                 if opens and strong:
                     start[k, NOTICE] = 3.0
@@ -207,14 +229,12 @@ def decode(text: str) -> list[str]:
         p = pre[j] - pre[lo:j]
         s[:, PREFIXED] -= np.where(p > 0, 0.0, 3.0)
         i = s.argmax(axis=0)
-        best[j] = s[i, np.arange(5)]
+        best[j] = s[i, _EACH]
         first[j] = i + lo
-        for c in range(5):
-            came[j, c] = lead_from[first[j, c], c]
-        # a headed quotation runs to the end or to a notice; otherwise any kind may follow another
-        step = np.array([[best[j, a] + _follow(a, c) for a in range(5)] for c in range(5)])
-        lead_from[j] = step.argmax(axis=1)
-        lead[j] = step.max(axis=1)
+        came[j] = lead_from[first[j], _EACH]
+        step = best[j][:, None] + _FOLLOW
+        lead_from[j] = step.argmax(axis=0)
+        lead[j] = step[lead_from[j], _EACH]
     out, j, c = [""] * n, n, int(best[n].argmax())
     while j > 0:
         i = first[j, c]
@@ -224,16 +244,6 @@ def decode(text: str) -> list[str]:
     return out
 
 
-def _follow(a: int, c: int) -> float:
-    if a == c:
-        return -3.0
-    if a == HEADED:
-        return 0.0 if c == NOTICE else -7.0
-    if a in (SIGNATURE, NOTICE) and c == AUTHORED:
-        return -2.0
-    return -0.2
-
-
 def mail_lines(messages: DataFrame) -> DataFrame:
     """delivery_id, line_no, kind: every line with visible text of text_body; lines count from 1."""
 
