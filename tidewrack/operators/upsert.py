@@ -35,13 +35,16 @@ class UpsertStore:
     """Hash-bucketed sorted runs under one folder; one winner per identifier.
 
     ``order`` names the columns whose least value (in this order) wins. Ties on
-    all of them are the same delivery and collapse to one row.
+    all of them are the same delivery and collapse to one row. Without
+    ``buckets`` there are as many as shuffle partitions, 16 at least.
     """
 
-    def __init__(self, spark: SparkSession, key: str, order: list[str], buckets: int = 16, path: str | None = None):
-        self.spark, self.key, self.order, self.buckets = spark, key, order, buckets
+    def __init__(self, spark: SparkSession, key: str, order: list[str], buckets: int | None = None, path: str | None = None):
+        self.spark, self.key, self.order = spark, key, order
+        self.buckets = buckets or max(16, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
         self.path = path or stage_path(spark, "upsert")
         self.runs: list[str] = []
+        self.compactions = 0
         self.schema = None
 
     def _sorted(self, df: DataFrame) -> DataFrame:
@@ -49,7 +52,7 @@ class UpsertStore:
         least = F.min(F.struct(*self.order))
         x = df.groupBy(self.key).agg(least.alias("__least")).select(self.key, *[F.col(f"__least.{c}").alias(c) for c in self.order])
         x = x.withColumn("bucket", F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int"))
-        # the aggregation has hashed on the key already; range-free repartition by bucket keeps a bucket in one file
+        # the aggregation has hashed on the key already; the repartition by bucket keeps a bucket in one file
         return x.repartition("bucket").sortWithinPartitions("bucket", self.key, *self.order)
 
     def upsert(self, batch: DataFrame, run: str) -> None:
@@ -74,12 +77,13 @@ class UpsertStore:
     def compact(self) -> None:
         """Merge the sorted runs into one; each has at most one row per identifier, so no bucket grows with its copies."""
         x = self.read().repartition("bucket").sortWithinPartitions("bucket", self.key)
-        done = f"compact{len(self.runs)}x{abs(hash(tuple(self.runs))) % 10**8}"
+        self.compactions += 1
+        done = f"compact{self.compactions}"
         x.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/run={done}")
         self.runs = [done]
 
 
-def repeated_deliveries(messages: DataFrame, steps: int = 2, buckets: int = 16) -> DataFrame:
+def repeated_deliveries(messages: DataFrame, steps: int = 2, buckets: int | None = None) -> DataFrame:
     """delivery_id of every delivery to drop: all of a message but its first.
 
     The first has the lowest received_at, then delivery_id (a null
