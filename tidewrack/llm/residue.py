@@ -170,13 +170,13 @@ def _tables(df: DataFrame) -> DataFrame:
     return df.withColumn("key", F.explode(keys))
 
 
-def residue_rows(sources: list[tuple[str, DataFrame, str, str]], rounds: int = 20) -> DataFrame:
+def residue_rows(sources: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
     """tbl, rec_id of rows whose whole content, site furniture aside, is residue.
 
     ``sources`` are (tbl, table, key, text column). Null and empty texts, and
     texts of furniture only, are no cases. A real text that mentions or quotes
-    residue is none. Repeated keys are judged row by row. Labels spread for at
-    most ``rounds`` links from a trusted core; a longer chain raises.
+    residue is none. Repeated keys are judged row by row. One round labels all
+    cores one link further from a trusted one; rounds end when none is new.
     """
     spark = sources[0][1].sparkSession
     texts = None
@@ -190,7 +190,7 @@ def residue_rows(sources: list[tuple[str, DataFrame, str, str]], rounds: int = 2
     front = node.filter("trusted")
     rest = node.filter("not trusted")
     spread = None
-    for _ in range(rounds):
+    while True:
         a = _tables(front.selectExpr("tbl as tbl_a", "rec_id as rec_a", "print", "n as n_a")).withColumnRenamed("print", "print_a")
         b = _tables(rest.select("tbl", "rec_id", "print", "n"))
         near = (F.bit_count(F.col("print").bitwiseXOR(F.col("print_a"))) <= RADIUS) & (F.least("n", "n_a") >= SIMILARITY * F.greatest("n", "n_a"))
@@ -203,8 +203,6 @@ def residue_rows(sources: list[tuple[str, DataFrame, str, str]], rounds: int = 2
             break
         spread = new if spread is None else spread.unionByName(new)
         front, rest = new, staged(rest.join(new.select("k1", "k2"), ["k1", "k2"], "left_anti"), "residue-rest")
-    else:
-        raise RuntimeError(f"labels still spread after {rounds} rounds")
     found = nodes.filter("trusted").select("tbl", "rec_id")
     if spread is not None:
         found = found.unionByName(nodes.filter("not trusted").join(spread.select("k1", "k2"), ["k1", "k2"], "left_semi").select("tbl", "rec_id"))
