@@ -153,9 +153,9 @@ _EDGES = "(SELECT DISTINCT l_suppkey AS src, l_partkey % (SELECT max(s_suppkey)
 @query("bfs_reachable", f"""WITH RECURSIVE e AS MATERIALIZED {_EDGES}, r(node, depth) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 4)
     SELECT node, min(depth) AS depth FROM r GROUP BY 1""")
 def bfs_reachable(spark, d):
-    top = table(spark, d, "supplier").agg(F.max("s_suppkey").alias("n"))
-    x = table(spark, d, "lineitem").filter("l_partkey % 7 = l_suppkey % 7 and l_quantity < 4").join(F.broadcast(top))
-    links = x.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % F.col("n") + 1).alias("dst")).distinct()
+    n = table(spark, d, "supplier").agg(F.max("s_suppkey")).first()[0]
+    x = table(spark, d, "lineitem").filter("l_partkey % 7 = l_suppkey % 7 and l_quantity < 4")
+    links = x.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % n + 1).alias("dst")).distinct()
     return crawl.reach(links, spark.createDataFrame([(1,)], "node bigint"), 4)
 
 
