@@ -65,7 +65,8 @@ def mix_sources(documents: DataFrame, targets: DataFrame, seed: int = 7, budget:
     source out. Repeated ids are documents of their own.
     """
     goal = targets.filter("source is not null and target_share > 0 and max_repeats >= 1").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("cap"))
-    goal = goal.crossJoin(F.broadcast(goal.agg(F.sum("share").alias("all_shares")))).selectExpr("source", "share / all_shares as share", "cap")
+    all_shares = goal.agg(F.sum("share")).first()[0] or 1.0  # one number
+    goal = goal.select("source", (F.col("share") / all_shares).alias("share"), "cap")
     docs = documents.filter("source is not null and doc_id is not null").select("doc_id", "source", "text")
     docs = docs.join(goal, "source", "left_semi")
     docs = token_counts(docs.repartition(work_slots(documents.sparkSession)), "text").select("doc_id", "source", "tokens").filter("tokens > 0")
@@ -103,7 +104,8 @@ def reached_shares(mixture: DataFrame, documents: DataFrame, targets: DataFrame)
     """source, target_share, max_repeats, docs_used, uses, tokens, actual_share, most_uses: one row per target source."""
     per_doc = mixture.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t"))
     s = per_doc.groupBy("source").agg(F.count(F.lit(1)).alias("docs_used"), F.sum("n").alias("uses"), F.sum("t").alias("tokens"), F.max("n").alias("most_uses"))
-    whole = s.agg(F.sum("tokens").alias("all_tokens"))
-    x = targets.filter("source is not null").join(s, "source", "left").crossJoin(F.broadcast(whole))
+    s = staged(s, "mix-report")  # one row per source
+    all_tokens = s.agg(F.sum("tokens")).first()[0] or 1
+    x = targets.filter("source is not null").join(s, "source", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
-    return x.select("source", "target_share", "max_repeats", zero("docs_used"), zero("uses"), zero("tokens"), zero("most_uses"), F.round(F.coalesce("tokens", F.lit(0)) / F.col("all_tokens"), 6).alias("actual_share"))
+    return x.select("source", "target_share", "max_repeats", zero("docs_used"), zero("uses"), zero("tokens"), zero("most_uses"), F.round(F.coalesce("tokens", F.lit(0)) / F.lit(all_tokens), 6).alias("actual_share"))
