@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,14 +67,18 @@ def search(docs: DataFrame, query: str, name: str = "doc_id", title: str = "titl
     q = query.lower()
     has = lambda c: F.coalesce(F.lower(c).contains(q), F.lit(False))
     shown, tagged = F.coalesce(F.col(title), F.col(name).cast("string")), F.coalesce(F.col(tags), F.lit(""))
-    x = docs.filter(has(F.col(text)) | has(shown) | has(tagged)).select(F.col(name).alias("name"), shown.alias("title"), tagged.alias("tags"), t.lines(F.coalesce(F.col(text), F.lit(""))).alias("l"))
+    in_text = has(F.col(text)) if not re.search(t.LINE_ENDS, q) else F.lit(False)  # no line contains a line end
+    # every document kept has a match, so the first ones by name suffice: only they are split into lines
+    x = docs.filter(in_text | has(shown) | has(tagged)).select(F.col(name).alias("name"), shown.alias("title"), tagged.alias("tags"), F.coalesce(F.col(text), F.lit("")).alias("t")).orderBy("name").limit(budget)
+    # a generator binds the lines, so that no rule splits the text again at each of their uses
+    x = x.select("name", "title", "tags", F.explode(F.array(t.lines(F.col("t")))).alias("l"))
     n = F.size("l")
     hits = F.filter(F.sequence(F.lit(1), n), lambda i: F.lower(F.col("l")[i - 1]).contains(q))
     context = lambda i: F.array_join(F.slice("l", F.greatest(i - around, F.lit(1)), F.least(i + around, n) - F.greatest(i - around, F.lit(1)) + 1), "\n")
     found = F.transform(F.slice(hits, 1, per_file), lambda i: F.struct(i.alias("line_number"), context(i).alias("context")))
     zero = lambda label, c: F.array(F.struct(F.lit(0).alias("line_number"), F.concat(F.lit(label), c).alias("context")))
     matches = F.when(F.size(hits) > 0, found).when(has(F.col("title")), zero("Title match: ", F.col("title"))).when(has(F.col("tags")), zero("Tag match: ", F.col("tags")))
-    x = x.select("name", "title", matches.alias("matches")).filter("matches is not null").orderBy("name").limit(budget)
+    x = x.select("name", "title", matches.alias("matches")).filter("matches is not null")
     before = F.coalesce(F.sum(F.size("matches")).over(Window.orderBy("name").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     x = x.withColumn("before", before).filter(F.col("before") < budget)
     return x.select("name", "title", F.inline("matches"))
