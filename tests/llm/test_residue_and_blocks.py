@@ -1,10 +1,12 @@
+import random
+
 import numpy as np
 import pytest
 
 from tidewrack.llm.blocks import BlockLabeller, fit_block_labeller, furniture_lines, page_blocks, tag_paths
 from tidewrack.llm.furniture import is_furniture, visible_lines, weak_labels
-from tidewrack.llm.residue import core_text, is_residue, residue_rows
-from tidewrack.llm.words import WordHash
+from tidewrack.llm.residue import CoreHash, _core_hashes, core_text, is_residue, residue_rows
+from tidewrack.llm.words import WordHash, words_of
 
 REAL = "Two rowers, one veteran, were screened before Monday. The trial was long and slow, and nobody found it dull."
 RESIDUE = [
@@ -34,6 +36,31 @@ def test_labels_spread_to_near_copies(spark):
     assert residue_rows([("items", df.limit(0), "item_id", "text")]).count() == 0
 
 
+def test_labels_spread_over_every_link_of_the_similarity(spark):
+    """Equal to brute force where links lie close above and below the similarity, over one link and over two."""
+    r = random.Random(11)
+    words = [a + b + c for a in "bdfgklmnprst" for b in "aeiou" for c in "bdfgklmnprst"]
+    rows = []
+    for family in range(40):
+        # a trusted core has slots; its copies lose them one by one, then words at the end
+        base = [f"{w}" for w in r.choices(words, k=92)]
+        first = base + ["{{name}}"] * 8
+        once = base + r.choices(words, k=r.choice([8, 14, 22]))
+        far = once[8 + family % 4 :] + r.choices(words, k=4)
+        rows += [" ".join(x) for x in (first, once, far, r.choices(words, k=100))]
+    df = spark.createDataFrame(list(enumerate(rows)), "item_id bigint, text string")
+    hashed = CoreHash()
+    sets = [set(_core_hashes(words_of(core_text(t)), hashed).tolist()) for t in rows]
+    links = {(a, b) for a in range(len(sets)) for b in range(len(sets)) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    want = trusted = {i for i, t in enumerate(rows) if is_residue(core_text(t))}
+    steps = []
+    while new := {b for a, b in links if a in want} - want:
+        steps.append(len(new))
+        want = want | new
+    assert len(trusted) == 40 and len(steps) == 2 and len(want) < 120, steps
+    assert {x.rec_id for x in residue_rows([("items", df, "item_id", "text")]).collect()} == want
+
+
 def test_furniture_wording():
     for s in ("Home | Shop | Jobs", "* Über uns", "[Press](/press) [Team](/team)", "© 2023 Quartz Fold. All rights reserved.", "We use cookies to count visitors.", "More: How it ended", "Shop > News > A title", "12 comments · Log in to reply"):
         assert is_furniture(s), s

@@ -4,24 +4,22 @@
    be residue when its whole wording is: unfilled slots, filler, error
    messages, or notices that scripts or a sign-in are needed. Equal cores are
    one node from here on.
-2. Cores get a SimHash of their shingles of five words. Partitioned tables
-   find all pairs within RADIUS bits: the fingerprint is cut into BLOCKS
-   blocks, and two fingerprints within the radius agree in at least
-   BLOCKS - RADIUS of them, so each choice of that many blocks is the key of
-   one table.
-3. Pairs are verified by Hamming distance and by the Jaccard similarity of
-   their shingles, and trusted labels spread along the verified links until
-   nothing changes: what is labelled at the end are the connected components
-   that hold a trusted core. Links among components without one are never
-   built.
+2. Pairs of cores that can be similar are found by prefixes: in any one order
+   of all shingles (here by hash), two sets of similarity SIMILARITY or more
+   share a shingle among the first n - ceil(SIMILARITY * n) + 1 of each. Only
+   these shingles are joined, and no pair is missed.
+3. Pairs are verified by the Jaccard similarity of their shingles of five
+   words, and trusted labels spread along the verified links until nothing
+   changes: what is labelled at the end are the connected components that hold
+   a trusted core. Links among components without one are never built.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -30,14 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewrack.llm.furniture import is_furniture, visible_lines
-from tidewrack.llm.words import WordHash, mix, shingles, words_of
+from tidewrack.llm.words import WordHash, shingles, words_of
 from tidewrack.session import staged, work_slots
 
-RADIUS, BLOCKS = 3, 6
 SIMILARITY = 0.8
 SHINGLE = 5
 #: Ids of cores to be compared are broadcast up to this many; beyond, the join shuffles.
 BROADCAST_IDS = 300_000
+#: Prefix shingles of labelled cores are broadcast up to this many rows (about 40 bytes each); beyond, the join shuffles.
+BROADCAST_SHINGLES = 500_000
 
 # Forms of unfilled slots.
 SLOT = re.compile(
@@ -136,14 +135,15 @@ def _core_hashes(words: list[str], hashed: CoreHash) -> np.ndarray:
     return np.unique(shingles(hashed(words), SHINGLE))
 
 
-def simhash(s: np.ndarray) -> int:
-    """64-bit SimHash of a set of shingle hashes, as a signed integer."""
-    bits = np.unpackbits(mix(s, 3).view(np.uint8).reshape(len(s), 8), axis=1)
-    return int(np.packbits(bits.sum(axis=0) * 2 > len(s)).view(np.int64)[0])
+def _prefix(s: np.ndarray) -> np.ndarray:
+    """The first hashes of a sorted set; a set of similarity SIMILARITY or more has one of them among its own first ones."""
+    # the least overlap such a set can have; the margin keeps rounding from shortening the prefix
+    need = math.ceil(SIMILARITY * len(s) - 1e-6)
+    return s[: len(s) - need + 1].view(np.int64)
 
 
 def _nodes(texts: DataFrame) -> DataFrame:
-    """tbl, rec_id, trusted, k1, k2, print, n for every row whose core has words."""
+    """tbl, rec_id, trusted, k1, k2, prefix, n for every row whose core has words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashed = CoreHash()
@@ -156,18 +156,10 @@ def _nodes(texts: DataFrame) -> DataFrame:
                     s = _core_hashes(w, hashed)
                     whole = xxhash.xxh128_digest(s.tobytes())
                     k1, k2 = np.frombuffer(whole, np.int64)
-                    rows.append((tbl, i, is_residue(core, w), int(k1), int(k2), simhash(s), len(s)))
-            yield pd.DataFrame(rows, columns=["tbl", "rec_id", "trusted", "k1", "k2", "print", "n"])
+                    rows.append((tbl, i, is_residue(core, w), int(k1), int(k2), _prefix(s), len(s)))
+            yield pd.DataFrame(rows, columns=["tbl", "rec_id", "trusted", "k1", "k2", "prefix", "n"])
 
-    return texts.mapInPandas(run, "tbl string, rec_id bigint, trusted boolean, k1 bigint, k2 bigint, print bigint, n int")
-
-
-def _tables(df: DataFrame) -> DataFrame:
-    """One row per SimHash table: its number and key, from all choices of BLOCKS - RADIUS blocks."""
-    edges = [round(64 * k / BLOCKS) for k in range(BLOCKS + 1)]
-    block = [F.shiftrightunsigned("print", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:])]
-    keys = F.array(*[F.xxhash64(F.lit(k), *[block[x] for x in choice]) for k, choice in enumerate(combinations(range(BLOCKS), BLOCKS - RADIUS))])
-    return df.withColumn("key", F.explode(keys))
+    return texts.mapInPandas(run, "tbl string, rec_id bigint, trusted boolean, k1 bigint, k2 bigint, prefix array<bigint>, n int")
 
 
 def residue_rows(sources: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
@@ -185,24 +177,27 @@ def residue_rows(sources: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
         texts = x if texts is None else texts.unionByName(x)
     nodes = staged(_nodes(texts.repartition(work_slots(spark))), "residue-nodes")
     # equal cores are one node; a hot one costs a row per map task
-    node = nodes.groupBy("k1", "k2").agg(F.max("trusted").alias("trusted"), F.min(F.struct("tbl", "rec_id")).alias("rep"), F.first("print").alias("print"), F.first("n").alias("n"))
-    node = staged(node.select("k1", "k2", "trusted", "rep.tbl", "rep.rec_id", "print", "n"), "residue-cores")
+    node = nodes.groupBy("k1", "k2").agg(F.max("trusted").alias("trusted"), F.min(F.struct("tbl", "rec_id")).alias("rep"), F.first("prefix").alias("prefix"), F.first("n").alias("n"))
+    node = staged(node.select("k1", "k2", "trusted", "rep.tbl", "rep.rec_id", "prefix", "n"), "residue-cores")
     front = node.filter("trusted")
-    rest = node.filter("not trusted")
     spread = None
     while True:
-        a = _tables(front.selectExpr("tbl as tbl_a", "rec_id as rec_a", "print", "n as n_a")).withColumnRenamed("print", "print_a")
-        b = _tables(rest.select("tbl", "rec_id", "print", "n"))
-        near = (F.bit_count(F.col("print").bitwiseXOR(F.col("print_a"))) <= RADIUS) & (F.least("n", "n_a") >= SIMILARITY * F.greatest("n", "n_a"))
-        pairs = staged(a.join(b, "key").filter(near).select("tbl_a", "rec_a", "tbl", "rec_id").distinct(), "residue-pairs")
+        rest = node.filter("not trusted")
+        if spread is not None:
+            rest = rest.join(spread.select("k1", "k2"), ["k1", "k2"], "left_anti")
+        a = front.select(F.col("tbl").alias("tbl_a"), F.col("rec_id").alias("rec_a"), F.col("n").alias("n_a"), F.explode("prefix").alias("shingle"))
+        size = front.agg(F.sum(F.size("prefix"))).first()[0] or 0
+        b = rest.select("tbl", "rec_id", "n", F.explode("prefix").alias("shingle"))
+        near = F.least("n", "n_a") >= SIMILARITY * F.greatest("n", "n_a") - 1e-6
+        pairs = b.join(F.broadcast(a) if size <= BROADCAST_SHINGLES else a, "shingle").filter(near)
+        pairs = staged(pairs.select("tbl_a", "rec_a", "tbl", "rec_id").distinct(), "residue-pairs")
         if pairs.isEmpty():
             break
         linked = _verified(pairs, texts)
-        new = staged(linked.select("tbl", "rec_id").distinct().join(rest, ["tbl", "rec_id"]).select(*node.columns), "residue-new")
-        if new.isEmpty():
+        front = staged(linked.select("tbl", "rec_id").distinct().join(rest, ["tbl", "rec_id"]).select(*node.columns), "residue-new")
+        if front.isEmpty():
             break
-        spread = new if spread is None else spread.unionByName(new)
-        front, rest = new, staged(rest.join(new.select("k1", "k2"), ["k1", "k2"], "left_anti"), "residue-rest")
+        spread = front if spread is None else spread.unionByName(front)
     found = nodes.filter("trusted").select("tbl", "rec_id")
     if spread is not None:
         found = found.unionByName(nodes.filter("not trusted").join(spread.select("k1", "k2"), ["k1", "k2"], "left_semi").select("tbl", "rec_id"))
