@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from tidewrack.llm.mailspans import authored_text, decode, unauthored_lines
 from tidewrack.llm.subjects import document_subjects
 
@@ -42,6 +44,27 @@ def test_spans():
     assert len(decode("a line of text.\n" * 3000)) == 3001
 
 
+BODY = ["The ferry left an hour late and nobody on the quay knew why.", "We counted the crates twice, and twice one was missing.", "", "It turned up in the hold of another boat, under nets."]
+SIGNED = ["Kind regards", "Bob Stone", "T +00 555 7043", "Editor | Hill Press"]
+
+
+@pytest.mark.parametrize("n", [6, 10, 50, 199, 500])
+@pytest.mark.parametrize("end", [[], SIGNED, [*SIGNED, "", "This message is confidential and meant only for the addressee. If it reached", "you by mistake, destroy all copies."]])
+def test_long_forwards_stay_quoted(n, end):
+    body = [BODY[i % 4] for i in range(n)]
+    for gap in ([], [""]):
+        head = ["From: Bob Stone <b@h.example>", "Sent: 22.03.2025 19:22", "To: e@h.example", "Subject: Crates", *gap]
+        assert kept("\n".join(["See below, it helps.", "", *head, *body, *end])) == ["See below, it helps."]
+        assert kept("\n".join([*head, *body, *end, *body[:9]])) == []
+    # several signed mails in one forward, and a notice in its middle
+    assert kept("\n".join(["So.", "", *head, *[s for _ in range(6) for s in [*body, *end, ""]]])) == ["So."]
+
+
+def test_text_after_the_end_of_a_forward_is_new():
+    text = "\n".join(["-----Original Message-----", "From: Bob <b@h.example>", "Sent: 22.03.2025", "", *BODY * 20, "----- End forwarded message -----", "", "I agree with all of it."])
+    assert kept(text) == ["I agree with all of it."]
+
+
 def test_mail_query(spark):
     df = spark.createDataFrame([(1, MAIL, "x"), (2, None, "x"), (3, "", "x"), (4, FORWARD, "x"), (4, FORWARD, "x")], "delivery_id bigint, text_body string, kind string")
     lines = MAIL.split("\n")

@@ -13,6 +13,10 @@ notices; line cues are prefixes, contact lines, sentences and so on; whole-span
 terms look at the span as one (does a prefixed quotation have prefixes, does a
 notice have enough legal wording). The scores are fixed log-weights, listed
 below; nothing is learned from the data decoded.
+
+What follows a copied head is quoted however long it is: no kind of line pays
+more in a headed quotation than elsewhere, and authored text comes after one
+only where a line says that the forwarded mail ends.
 """
 
 from __future__ import annotations
@@ -27,9 +31,10 @@ from pyspark.sql import functions as F
 
 from tidewrack.session import work_slots
 
-AUTHORED, PREFIXED, HEADED, SIGNATURE, NOTICE = range(5)
-KINDS = ["authored", "quoted", "quoted", "signature", "notice"]
-#: Longest span scored at once; a longer one continues in a further span of the same kind.
+AUTHORED, PREFIXED, HEADED, SIGNATURE, NOTICE, TRAILER = range(6)
+#: A trailer is a notice below a headed quotation.
+KINDS = ["authored", "quoted", "quoted", "signature", "notice", "notice"]
+#: Longest span scored at once; a longer one continues in a further span of the same kind, a headed quotation at no cost.
 MAX_SPAN = 200
 
 # Wording in English, German, French and Spanish.
@@ -42,6 +47,10 @@ _FORWARD = re.compile(
     r"^\s*(?:-{2,}|_{5,}|={5,})?\s*(?:begin forwarded message|anfang der weitergeleiteten|original message|forwarded message|forwarded by\b.*|ursprüngliche nachricht|weitergeleitete nachricht|message d'origine|message transféré|mensaje original|mensaje reenviado|début du message)\s*:?\s*(?:-{2,}|:)?\s*$",
     re.I,
 )
+_FORWARD_END = re.compile(
+    r"^\s*(?:-{2,}|_{3,}|={3,})?\s*(?:end (?:of )?(?:the )?(?:forwarded|original) (?:message|mail|e-?mail)|ende der (?:weitergeleiteten|ursprünglichen) (?:nachricht|e-?mail)|fin du (?:message|courriel) (?:transféré|d'origine)|fin del mensaje (?:reenviado|original))\s*[.:]?\s*(?:-{2,}|_{3,}|={3,})?\s*$",
+    re.I,
+)
 _RULE = re.compile(r"^\s*(?:--\s?|—|_{3,}|={3,}|~{3,}|\*{3,}|-{3,}|#{3,})\s*$")
 _CLOSING = re.compile(
     r"^\s*(?:(?:with )?(?:best|kind|warm|kindest|warmest) (?:regards|wishes)|regards|best|cheers|(?:many )?thanks(?: again| in advance)?|thank you|all the best|(?:yours )?sincerely|yours(?: truly| faithfully)?|take care|"
@@ -71,19 +80,21 @@ _LEGAL = [
 ]
 _SENTENCE = re.compile(r"[.!?…]['\"»”)]?\s*$")
 
-# Log-weights. Rows of line cues: authored, prefixed, headed, signature, notice.
-_W_PLAIN = np.array([0.0, -5.0, -0.4, -4.0, -2.0])
-_W_PREFIX = np.array([-8.0, 1.0, 0.6, -8.0, -8.0])
-_W_LINE_HEAD = np.array([-3.0, -2.0, 0.8, -4.0, -4.0])
-_W_ATTRIBUTION = np.array([-5.0, 1.5, 0.3, -5.0, -5.0])
-_W_CLOSING = np.array([-3.0, -5.0, -0.4, 1.5, -5.0])
-_W_RULE = np.array([-2.5, -4.0, -0.4, 1.0, -3.0])
-_W_DEVICE = np.array([-4.0, -5.0, -0.4, 1.5, -4.0])
-_W_CONTACT = np.array([-0.3, -5.0, -0.4, 0.8, -2.5])
-_W_TITLE = np.array([-1.2, -5.0, -0.4, 0.6, -2.0])
-_W_NAME = np.array([-1.5, -5.0, -0.4, 0.6, -2.0])
-_W_LEGAL = np.array([-3.5, -5.0, -0.4, -4.0, 1.5])
-_START_WITHOUT_CUE = np.array([-1.0, -3.0, -9.0, -5.0, -5.0])
+# Log-weights. Rows of line cues: authored, prefixed, headed, signature, notice, trailer. A forwarded mail has
+# lines of every kind, so those of headed are the best of the others.
+_W_PLAIN = np.array([0.0, -5.0, 0.0, -4.0, -2.0, -2.0])
+_W_PREFIX = np.array([-8.0, 1.0, 1.0, -8.0, -8.0, -8.0])
+_W_LINE_HEAD = np.array([-3.0, -2.0, 0.8, -4.0, -4.0, -4.0])
+_W_ATTRIBUTION = np.array([-5.0, 1.5, 2.5, -5.0, -5.0, -5.0])
+_W_CLOSING = np.array([-3.0, -5.0, 1.5, 1.5, -5.0, -5.0])
+_W_RULE = np.array([-2.5, -4.0, 1.0, 1.0, -3.0, -3.0])
+_W_DEVICE = np.array([-4.0, -5.0, 1.5, 1.5, -4.0, -4.0])
+_W_CONTACT = np.array([-0.3, -5.0, 0.8, 0.8, -2.5, -2.5])
+_W_TITLE = np.array([-1.2, -5.0, 0.6, 0.6, -2.0, -2.0])
+_W_NAME = np.array([-1.5, -5.0, 0.6, 0.6, -2.0, -2.0])
+_W_LEGAL = np.array([-3.5, -5.0, 1.5, -4.0, 1.5, 1.5])
+_NEVER = -1e6
+_START_WITHOUT_CUE = np.array([-1.0, -3.0, _NEVER, -5.0, -5.0, -5.0])
 
 
 def _legal(s: str) -> int:
@@ -116,26 +127,29 @@ def _told(s: str) -> bool:
     return bool(re.search(r"\d{1,4}[-./:]\d|@|\d{4}|^\S+ \S+ (?:said|wrote|schrieb|escribió)\s?:$|^\S+ \S+ a écrit\s?:$|wrote on|schrieb am|^\S+(?: \S+)?(?: <\S+>)? (?:said|wrote|schrieb|a écrit|escribió)\b", s, re.I))
 
 
-_EACH = np.arange(5)
-# Log-weights of a kind (row) being followed by another; a headed quotation runs to the end or to a notice.
+_EACH = np.arange(6)
+# Log-weights of a kind (row) being followed by another; a headed quotation runs to the end, to a notice or to
+# the line that ends it (_RELEASE: its row there).
 _FOLLOW = np.array(
     [
-        [-3.0, -0.2, -0.2, -0.2, -0.2],
-        [-0.2, -3.0, -0.2, -0.2, -0.2],
-        [-7.0, -7.0, -3.0, -7.0, 0.0],
-        [-2.0, -0.2, -0.2, -3.0, -0.2],
-        [-2.0, -0.2, -0.2, -0.2, -3.0],
+        [-3.0, -0.2, -0.2, -0.2, -0.2, _NEVER],
+        [-0.2, -3.0, -0.2, -0.2, -0.2, _NEVER],
+        [_NEVER, _NEVER, -3.0, _NEVER, _NEVER, 0.0],
+        [-2.0, -0.2, -0.2, -3.0, -0.2, _NEVER],
+        [-2.0, -0.2, -0.2, -0.2, -3.0, _NEVER],
+        [_NEVER, _NEVER, -0.2, _NEVER, _NEVER, -3.0],
     ]
 )
+_RELEASE = np.array([0.0, -0.2, -0.2, -0.2, -0.2, 0.0])
 
 
 def decode(text: str) -> list[str]:
     """The kind of each line of ``text`` split at line feeds: authored, quoted, signature or notice. Blank lines take their span's kind."""
     lines = text.split("\n")
     n = len(lines)
-    e = np.zeros((n + 1, 5))
+    e = np.zeros((n + 1, 6))
     start = np.tile(_START_WITHOUT_CUE, (n, 1))
-    prefixed, attributed, plain = np.zeros(n + 1), np.zeros(n, bool), np.zeros(n + 1)
+    prefixed, attributed, plain, ended = np.zeros(n + 1), np.zeros(n, bool), np.zeros(n + 1), np.zeros(n + 1, bool)
     heads = [bool(_HEAD.match(s)) and len(s) < 200 for s in lines]
     k = 0
     while k < n:
@@ -144,6 +158,7 @@ def decode(text: str) -> list[str]:
             # blank lines weigh little, and start nothing
             start[k] = -6.0
             start[k, AUTHORED] = -0.5
+            start[k, HEADED] = _NEVER
             if k == 0:
                 start[k, AUTHORED] = 0.0
             k += 1
@@ -166,6 +181,9 @@ def decode(text: str) -> list[str]:
         if _FORWARD.match(s):
             e[k + 1] = _W_LINE_HEAD
             start[k, HEADED] = 6.0
+        elif _FORWARD_END.match(s):
+            e[k + 1] = _W_LINE_HEAD
+            ended[k + 1] = True
         elif heads[k] and (_near(lines, heads, k) >= 2 or (k > 0 and sum(heads[max(0, k - 4) : k]) >= 1 and e[k][HEADED] > 0)):
             e[k + 1] = _W_LINE_HEAD
             start[k, HEADED] = 5.0
@@ -179,8 +197,8 @@ def decode(text: str) -> list[str]:
             if nxt < n and (heads[nxt] or _FORWARD.match(lines[nxt])):
                 start[k, HEADED] = 5.0
             if nxt < n and _NOTICE_START.match(lines[nxt]):
-                e[k + 1, NOTICE] = 1.0
-                start[k, NOTICE] = 2.0
+                e[k + 1, [NOTICE, TRAILER]] = 1.0
+                start[k, [NOTICE, TRAILER]] = 2.0
         elif _DEVICE.match(s):
             e[k + 1] = _W_DEVICE
             start[k, SIGNATURE] = 3.0
@@ -190,11 +208,11 @@ def decode(text: str) -> list[str]:
             if legal or opens:
                 joined = " ".join(lines[k : k + 4])
                 strong = _legal(joined) >= 2 or bool(re.search(r"environment before you print|not those of", joined, re.I))
-                e[k + 1] = _W_LEGAL if legal and strong else _W_PLAIN + np.array([0, 0, 0, 0, 1.0])
+                e[k + 1] = _W_LEGAL if legal and strong else _W_PLAIN + np.array([0, 0, 0, 0, 1.0, 1.0])
                 if opens and strong:
-                    start[k, NOTICE] = 3.0
+                    start[k, [NOTICE, TRAILER]] = 3.0
                 elif legal and strong:
-                    start[k, NOTICE] = -1.0
+                    start[k, [NOTICE, TRAILER]] = -1.0
             elif _CONTACT.match(s):
                 e[k + 1] = _W_CONTACT
             elif _NAME.match(s):
@@ -206,33 +224,40 @@ def decode(text: str) -> list[str]:
             else:
                 e[k + 1] = _W_PLAIN
                 if not _SENTENCE.search(s) and len(s) < 40:
-                    e[k + 1, NOTICE] += 1.0
-                e[k + 1, NOTICE] += 1.2  # notices are wrapped: any line may be one's middle
+                    e[k + 1, [NOTICE, TRAILER]] += 1.0
+                e[k + 1, [NOTICE, TRAILER]] += 1.2  # notices are wrapped: any line may be one's middle
         k += 1
     start[0, AUTHORED] = 0.0
+    e[1:][ended[:-1], HEADED] -= 4.0  # below the end of a forward
     total = np.cumsum(e, axis=0)
     pre, pln = np.cumsum(prefixed), np.cumsum(plain)
-    best = np.full((n + 1, 5), -1e9)
+    best = np.full((n + 1, 6), -1e9)
     best[0, AUTHORED] = 0.0
-    first = np.full((n + 1, 5), -1)
-    came = np.full((n + 1, 5), -1)
-    lead = np.full((n + 1, 5), -1e9)  # best of the spans that may come before
+    first = np.full((n + 1, 6), -1)
+    came = np.full((n + 1, 6), -1)
+    lead = np.full((n + 1, 6), -1e9)  # best of the spans that may come before
     lead[0] = 0.0
-    lead_from = np.zeros((n + 1, 5), int)
+    lead[0, TRAILER] = _NEVER
+    lead_from = np.zeros((n + 1, 6), int)
     for j in range(1, n + 1):
         lo = max(0, j - MAX_SPAN)
         length = j - np.arange(lo, j)
         s = lead[lo:j] + start[lo:j] + (total[j] - total[lo:j])
         # length: signatures are short, notices not long; whole span: a prefixed quotation has prefixes or one attribution
         s[:, SIGNATURE] -= 0.35 * np.maximum(0, length - 7)
-        s[:, NOTICE] -= 0.25 * np.maximum(0, length - 9)
+        s[:, [NOTICE, TRAILER]] -= 0.25 * np.maximum(0, length - 9)[:, None]
         p = pre[j] - pre[lo:j]
         s[:, PREFIXED] -= np.where(p > 0, 0.0, 3.0)
         i = s.argmax(axis=0)
         best[j] = s[i, _EACH]
         first[j] = i + lo
         came[j] = lead_from[first[j], _EACH]
+        # a headed quotation has no whole-span term: one line more is the same span
+        if best[j - 1, HEADED] + e[j, HEADED] > best[j, HEADED]:
+            best[j, HEADED], first[j, HEADED], came[j, HEADED] = best[j - 1, HEADED] + e[j, HEADED], j - 1, HEADED
         step = best[j][:, None] + _FOLLOW
+        if ended[j]:
+            step[HEADED] = best[j, HEADED] + _RELEASE
         lead_from[j] = step.argmax(axis=0)
         lead[j] = step[lead_from[j], _EACH]
     out, j, c = [""] * n, n, int(best[n].argmax())
