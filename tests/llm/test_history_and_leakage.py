@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewrack.llm.history import HistoryIndex, page_parts, seen_pages
@@ -47,6 +48,60 @@ def test_probe_finds_near_addresses_by_bands(spark):
     assert [r.id for r in near.probe(new, "u", ["id"]).collect()] == [100]
 
 
+def test_history_outlives_its_object(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    one = spark.createDataFrame([(1, "https://a.example/x"), (2, "https://a.example/y"), (3, "https://a.example/x#f")], "id bigint, u string")
+    two = spark.createDataFrame([(4, "http://www.a.example/y/"), (5, "https://a.example/z")], "id bigint, u string")
+    found = lambda index, df: {r.id for r in index.ingest(df, "u", ["id"], ["id"]).collect()}
+    assert found(HistoryIndex(spark, path=path), one) == {3}
+    spark.conf.set("spark.sql.shuffle.partitions", "23")  # the next application may have another number
+    try:
+        again = HistoryIndex(spark, path=path)
+        assert again.history().count() == 2 and {r.id for r in again.probe(two, "u", ["id"]).collect()} == {4}
+        assert found(again, two) == {4}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    (tmp_path / "store" / "run=2").mkdir()  # a run that was broken off
+    assert found(HistoryIndex(spark, path=path), one.unionByName(two)) == {1, 2, 3, 4, 5}
+    assert HistoryIndex(spark, path=path).runs() == [0, 1, 3]
+    with pytest.raises(ValueError):
+        HistoryIndex(spark, slots=8, path=path)
+
+
+def test_seen_pages_with_a_history(spark, tmp_path):
+    items = spark.createDataFrame([(1, 1, "https://a.example/x"), (2, 2, "https://a.example/x/"), (3, 2, "https://a.example/q")], "item_id bigint, batch_id int, source_url string")
+    feeds = spark.createDataFrame([(1, 1, "https://a.example/y"), (2, 2, "https://a.example/y")], "result_id bigint, batch_id int, url string")
+    for batch, want in ((1, set()), (2, {("items", 2), ("feed_results", 2)})):
+        index = HistoryIndex(spark, path=f"file://{tmp_path}/store")
+        got = seen_pages(items.filter(F.col("batch_id") == batch), feeds.filter(F.col("batch_id") == batch), index=index)
+        assert {tuple(r) for r in got.collect()} == want
+
+
+def test_near_addresses_are_ingested_in_order(spark, tmp_path):
+    r = random.Random(2)
+    rows = []
+    for k in range(12):
+        parts = [f"{k}-{j}" for j in range(10)]
+        for _ in range(6):
+            parts = [f"v{r.randint(0, 99)}" if r.random() < 0.15 else s for s in parts]
+            rows.append((len(rows), f"https://h.example/{'/'.join(parts)}"))
+    r.shuffle(rows)
+    rows = [(i, u) for i, (_, u) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "id bigint, u string")
+    open_ = lambda: HistoryIndex(spark, slots=16, bands=8, min_similarity=0.6, path=f"file://{tmp_path}/near")
+    sig = {x.id: x.sig for x in open_().keys(df, "u").select("id", "sig").distinct().collect()}
+    accepted, want = [], set()
+    for i, _ in rows:
+        if any(sum(a == b for a, b in zip(sig[i], sig[j])) >= 0.6 * 16 for j in accepted):
+            want.add(i)
+        else:
+            accepted.append(i)
+    got = [x.id for half in (df.filter("id < 40"), df.filter("id >= 40")) for x in open_().ingest(half, "u", ["id"], ["id"]).collect()]
+    assert 10 < len(want) < 60 and sorted(got) == sorted(want)
+    with pytest.raises(ValueError):
+        HistoryIndex(spark, slots=16, bands=2, min_similarity=0.6).ingest(df, "u", ["id"], ["id"])
+
+
 def _brute(docs, items):
     out = set()
     for d, text in docs:
