@@ -66,3 +66,21 @@ def test_budget_and_empty(spark):
     assert 980 <= total <= 1000 and abs(sum(r.tokens for r in rows if r.source == "s1") / total - 0.75) < 0.05
     assert mix_sources(docs.limit(0), targets).count() == 0
     assert mix_sources(docs, targets.limit(0)).count() == 0
+
+
+def test_budget_is_spent_when_large_shares_are_used_up(spark):
+    """The cut is the one of brute force, with nine tenths of the share used up early, and with more budget than tokens."""
+    docs = _docs(spark, [10, 900, 3])
+    targets = spark.createDataFrame([("s0", 0.9, 1), ("s1", 0.099, 1), ("s2", 0.001, 2)], "source string, target_share double, max_repeats int")
+    every = sorted(mix_sources(docs, targets, budget=10**9, slices=8).collect(), key=lambda r: (r.finish, r.source, r.doc_id, r.pass_no))
+    total = sum(r.tokens for r in every)
+    assert len(every) == 10 + 900 + 6
+    for budget in (60, 1000, 5000, total - 1, total, total + 1):
+        want, spent = set(), 0
+        for r in every:
+            spent += r.tokens
+            if spent > budget:
+                break
+            want.add((r.doc_id, r.pass_no))
+        rows = mix_sources(docs, targets, budget=budget, slices=8).collect()
+        assert {(r.doc_id, r.pass_no) for r in rows} == want and len(rows) == len(want), budget

@@ -50,6 +50,24 @@ def _slices(order_hash: Column, n: int) -> Column:
     return F.floor((F.shiftrightunsigned(order_hash, 1) / F.lit(2.0**63)) * n).cast("int")
 
 
+def _clock(plan: list[tuple[int, int, float, int]], limit: int) -> float:
+    """A virtual time after which no document fits ``limit`` any more, or the last finish time where all may.
+
+    ``plan`` has tokens, cap, share and longest document of every source. By
+    time t a source has given min(share * t, cap * size) tokens, less at most
+    one document; the sum over the sources is linear between the times at
+    which sources are used up.
+    """
+    wanted = limit + sum(longest for *_, longest in plan)
+    ends = sorted((size * cap / share, share, size * cap) for size, cap, share, _ in plan)
+    rate, given = sum(share for _, share, _ in ends), 0
+    for end, share, whole in ends:
+        if given + rate * end >= wanted:
+            return (wanted - given) / rate
+        rate, given = rate - share, given + whole
+    return ends[-1][0] if ends else 0.0
+
+
 def mix_sources(documents: DataFrame, targets: DataFrame, seed: int = 7, budget: int | None = None, slices: int = 256) -> DataFrame:
     """The mixture: doc_id, source, pass_no, tokens, finish; ordered by range on (finish, source, doc_id).
 
@@ -71,12 +89,12 @@ def mix_sources(documents: DataFrame, targets: DataFrame, seed: int = 7, budget:
     docs = docs.join(goal, "source", "left_semi")
     docs = token_counts(docs.repartition(work_slots(documents.sparkSession)), "text").select("doc_id", "source", "tokens").filter("tokens > 0")
     docs = staged(docs, "mix-tokens")
-    size = docs.groupBy("source").agg(F.sum("tokens").alias("size"))
+    size = docs.groupBy("source").agg(F.sum("tokens").alias("size"), F.max("tokens").alias("longest"))
     plan = goal.join(size, "source")
     # one number: the total that every source can serve
     limit = plan.agg(F.floor(F.min(F.col("size") * F.col("cap") / F.col("share"))).cast("bigint")).first()[0] if budget is None else budget
     limit = int(limit or 0)
-    used = docs.join(plan, "source").withColumn("pass_no", F.explode(F.sequence(F.lit(1), F.col("cap").cast("int"))))
+    used = docs.join(plan.drop("size", "longest"), "source").withColumn("pass_no", F.explode(F.sequence(F.lit(1), F.col("cap").cast("int"))))
     used = used.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "pass_no")).withColumn("slice", _slices(F.col("h"), slices))
     # running tokens: whole passes before, whole slices before, then documents before within the slice
     by_slice = used.groupBy("source", "pass_no", "slice").agg(F.sum("tokens").alias("t"))
@@ -85,16 +103,17 @@ def mix_sources(documents: DataFrame, targets: DataFrame, seed: int = 7, budget:
     inside = Window.partitionBy("source", "pass_no", "slice").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     used = used.withColumn("here", F.sum("tokens").over(inside)).join(before, ["source", "pass_no", "slice"])
     used = used.withColumn("finish", (F.col("before") + F.col("here")) / F.col("share")).select("doc_id", "source", "pass_no", "tokens", "finish")
-    # a virtual clock of 1 token a share unit: the total by time t is about t, so the cut lies near the budget
-    width = max(1.0, limit / 4096)
-    used = staged(used.filter(F.col("finish") <= 2.0 * limit + 1).withColumn("tick", F.floor(F.col("finish") / width).cast("bigint")), "mix-finish")
-    ticks = used.groupBy("tick").agg(F.sum("tokens").alias("t"))  # at most about 8,200 rows
+    # one row per source
+    last_time = _clock([tuple(r) for r in plan.select("size", F.col("cap").cast("bigint"), "share", "longest").collect()], limit) * (1 + 1e-9)
+    width = max(last_time, 1.0) / 4096
+    used = staged(used.filter(F.col("finish") <= last_time + 1).withColumn("tick", F.floor(F.col("finish") / width).cast("bigint")), "mix-finish")
+    ticks = used.groupBy("tick").agg(F.sum("tokens").alias("t"))  # at most about 4,100 rows, or one per unit of time
     run = ticks.withColumn("upto", F.sum("t").over(Window.orderBy("tick")))
     full = run.filter(F.col("upto") <= limit).agg(F.max("tick").alias("tick"), F.max("upto").alias("upto")).first()
     last, spent = (full.tick, full.upto) if full.tick is not None else (-1, 0)
     edge = run.filter(F.col("tick") > last).agg(F.min("tick")).first()[0]
     edge = -1 if edge is None else edge
-    # only the tick that crosses the budget is ordered by itself: 1/4096 of the mixture
+    # only the tick that crosses the budget is ordered by itself: 1/4096 of the time
     at = used.filter(F.col("tick") == edge).withColumn("upto", F.sum("tokens").over(Window.orderBy("finish", "source", "doc_id", "pass_no")) + F.lit(spent)).filter(F.col("upto") <= limit)
     chosen = used.filter(F.col("tick") <= last).unionByName(at.drop("upto")).drop("tick")
     return chosen.repartitionByRange("finish", "source", "doc_id").sortWithinPartitions("finish", "source", "doc_id", "pass_no")
