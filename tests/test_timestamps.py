@@ -64,6 +64,27 @@ def test_intervals_agree_with_the_tz_database(t, zone):
     assert set(hits) == back
 
 
+def test_short_changes_are_seen(spark):
+    """Ramadan 2024 in Morocco lies between two months' firsts: 10 March to 14 April."""
+    rows = [(1, "2024-03-20 12:00", "2024-03-20T12:00:00Z", "direct"), (2, "2024-03-01 12:00", "2024-03-01T11:00:00Z", "direct"), (3, "2024-05-01 12:00", "2024-05-01T11:00:00Z", "direct"), (4, "2024-03-10 02:30", "2024-03-10T01:30:00Z", "ambiguous"), (5, "2024-04-14 02:30", "2024-04-14T02:30:00Z", "nonexistent")]
+    for zone in ("Africa/Casablanca", "Africa/El_Aaiun"):
+        df = spark.createDataFrame([r[:2] for r in rows], "i int, w string").withColumn("z", F.lit(zone))
+        got = {(r.i, r.utc, r.time_case) for r in normalise_timestamps(df, F.col("w"), F.col("z")).collect()}
+        assert got == {(i, utc, case) for i, _, utc, case in rows}
+
+
+def test_every_zone_agrees_at_every_listed_change():
+    # the zones with the most changes a year, and one of each kind of file
+    for zone in ("Africa/Casablanca", "Africa/Cairo", "Asia/Gaza", "America/Scoresbysund", "America/Santiago", "Europe/Dublin", "Antarctica/Troll", "UTC", "Etc/GMT+5", "Asia/Kathmandu"):
+        years = {r[1]: r[2] for r in _zone_years(zone, 1950, 2050)}
+        for hour in range(0, 101 * 8766, 37):
+            at = dt.datetime(1950, 1, 2, tzinfo=dt.timezone.utc) + dt.timedelta(hours=hour)
+            local = at.astimezone(ZoneInfo(zone))
+            t = int((local.replace(tzinfo=None) - dt.datetime(1970, 1, 1)).total_seconds())
+            if local.year <= 2050:
+                assert int(local.utcoffset().total_seconds()) in {off for lo, hi, off in years[local.year] if lo <= t < hi}, (zone, at)
+
+
 def test_found(spark):
     feeds = spark.createDataFrame([(1, "Asia/Tokyo")], "feed_id bigint, tz string")
     items = spark.createDataFrame([(1, 1, "2025-01-01 09:00"), (2, None, "2025-01-01 09:00"), (3, 1, None), (4, 1, "n/a")], "item_id bigint, feed_id bigint, date string")

@@ -14,9 +14,12 @@ one broadcast equi-join and no row of the data is shuffled.
 
 from __future__ import annotations
 
+import struct
 from datetime import datetime, timedelta, timezone
 from functools import lru_cache
-from zoneinfo import ZoneInfo, available_timezones
+from importlib import resources
+from pathlib import Path
+from zoneinfo import TZPATH, ZoneInfo, available_timezones
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,21 +34,38 @@ def _offset(zone: ZoneInfo, at: int) -> int:
     return int((_EPOCH + timedelta(seconds=at)).astimezone(zone).utcoffset().total_seconds())
 
 
+def _transitions(name: str) -> list[int]:
+    """The instants at which the tz database's file of a zone lists a change, in order."""
+    path = next((p for p in (Path(d) / name for d in TZPATH) if p.is_file()), None)
+    data = (path or resources.files("tzdata").joinpath("zoneinfo", *name.split("/"))).read_bytes()
+    # two blocks, of 32-bit times and then, from version 2 on, of 64-bit ones
+    at, width = 0, 4
+    if data[4:5] >= b"2":
+        isut, isstd, leap, times, types, chars = struct.unpack(">6l", data[20:44])
+        at, width = 44 + times * 5 + types * 6 + chars + leap * 8 + isstd + isut, 8
+    times = struct.unpack(">l", data[at + 32 : at + 36])[0]
+    return list(struct.unpack(f">{times}{'q' if width == 8 else 'l'}", data[at + 44 : at + 44 + times * width]))
+
+
 @lru_cache(maxsize=1024)
 def _zone_years(name: str, first: int, last: int) -> list[tuple]:
     """(zone, year, [(local start, local end, offset)]) of one zone for every year."""
-    months = [int((datetime(y, m, 1, tzinfo=timezone.utc) - _EPOCH).total_seconds()) for y in range(first - 1, last + 2) for m in (1, 3, 5, 7, 9, 11)]
+    begin, end = (int((datetime(y, m, 1, tzinfo=timezone.utc) - _EPOCH).total_seconds()) for y, m in ((first - 1, 1), (last + 1, 11)))
+    listed = _transitions(name)
+    # every listed change is a point; beyond the last one the file has a rule, which is looked at day by day
+    rule = range(max(begin, listed[-1] if listed else begin) + 86400, end, 86400)
+    points = [begin, *[t for t in listed if begin < t < end], *rule, end]
     years = {y: int((datetime(y, 1, 1, tzinfo=timezone.utc) - _EPOCH).total_seconds()) for y in range(first, last + 2)}
     zone, rows = ZoneInfo(name), []
-    pieces, start, off = [], months[0], _offset(zone, months[0])
-    for a, b in zip(months, months[1:]):
+    pieces, start, off = [], begin, _offset(zone, begin)
+    for a, b in zip(points, points[1:]):
         if _offset(zone, b) != off:
             while b - a > 1:
                 mid = (a + b) // 2
                 a, b = (mid, b) if _offset(zone, mid) == off else (a, mid)
             pieces.append((start + off, b + off, off))
             start, off = b, _offset(zone, b)
-    pieces.append((start + off, months[-1] + off, off))
+    pieces.append((start + off, end + off, off))
     for y in range(first, last + 1):
         # pieces that end shortly before the year or start shortly after it keep a gap at its edge apart from missing data
         rows.append((name, y, [p for p in pieces if p[1] > years[y] - 172800 and p[0] < years[y + 1] + 172800]))
