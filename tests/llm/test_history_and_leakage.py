@@ -135,5 +135,9 @@ def test_leaks_equal_brute_force(spark):
     assert leaked_items(ddf, idf.limit(0)).count() == 0
 
 
+def test_arrows_keep_their_line():
+    assert spoken_words("it went a --> b here <!-- c --> on\n00:04.5 --> 00:06,3 align:start line:0% the hill\n1:00:04 --> 1:00:06\nx --> 00:01:02") == "it went a b here c on the hill x 00 01 02".split()
+
+
 def test_marks_are_no_text():
     assert spoken_words("WEBVTT\n\n00:00:04.5 --> 00:00:06.3\nOn the [00:00:34] Speaker 2: hill") == ["webvtt", "on", "the", "hill"]

@@ -33,7 +33,9 @@ WIDTH = 5
 #: Items' shingles are broadcast up to this many rows (16 bytes each); beyond, the join shuffles.
 BROADCAST_SHINGLES = 2_000_000
 # What is not part of a text.
-MARKS = re.compile(r"^.*-->.*$|\[\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d+)?\]|\bSpeaker\s+\d+\s*:", re.M)
+_TIME = r"(?:\d{1,3}:)?\d{1,2}:\d{2}(?:[.,]\d+)?"
+_SETTINGS = r"(?:[ \t]+(?:align|line|position|region|size|vertical):\S+)*"
+MARKS = re.compile(rf"(?<![\w:.,]){_TIME}[ \t]*-->[ \t]*{_TIME}(?![\w:]){_SETTINGS}|\[\d{{1,2}}:\d{{2}}(?::\d{{2}})?(?:[.,]\d+)?\]|\bSpeaker\s+\d+\s*:")
 
 
 def spoken_words(text: str | None) -> list[str]:
