@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewrack.session import staged
+
 
 def newest_per_key(df: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
     """The first ``k`` rows of each key in ``order``; a group limit runs before the shuffle, so a hot key sends k rows per map task."""
@@ -44,3 +46,32 @@ def topic_groups(items: DataFrame, assignment: DataFrame, most: int = 5) -> Data
     """topic, size, first_number: the ``most`` largest topics; numbers out of range and empty topics drop out, ties keep the order of first mention."""
     x = assignment.join(items, "number", "inner")
     return x.groupBy("topic").agg(F.count(F.lit(1)).alias("size"), F.min("pos").alias("first_pos")).orderBy(F.desc("size"), "first_pos", "topic").limit(most)
+
+
+def numbered(df: DataFrame, group: str, order: str) -> DataFrame:
+    """``df`` with ``number``: 1, 2, ... within each ``group`` (null is one) in ``order``.
+
+    Two-level: rows are split by range, counted per group and slice, and
+    numbered within a slice, so no task holds a group.
+    """
+    x = staged(df.repartitionByRange(group, order).withColumn("__slice", F.spark_partition_id()), "numbered")
+    n = x.groupBy(group, "__slice").agg(F.count(F.lit(1)).alias("n"))
+    before = n.select(F.col(group).alias("__group"), F.col("__slice").alias("__at"), (F.sum("n").over(Window.partitionBy(group).orderBy("__slice")) - F.col("n")).alias("__before"))
+    x = x.withColumn("__here", F.row_number().over(Window.partitionBy(group, "__slice").orderBy(order)))
+    x = x.join(before, F.col(group).eqNullSafe(F.col("__group")) & (F.col("__slice") == F.col("__at")))
+    return x.select(*df.columns, (F.col("__before") + F.col("__here")).cast("int").alias("number"))
+
+
+def digest_bodies(items: DataFrame) -> DataFrame:
+    """batch_id, items, body: one numbered digest a batch; a digest is one text."""
+    x = numbered(items.select("batch_id", "item_id", "content_type", F.coalesce("title", F.lit("Untitled")).alias("title")), "batch_id", "item_id")
+    line = F.concat(F.col("number").cast("string"), F.lit(". "), "title", F.lit(" ("), "content_type", F.lit(")"))
+    rows = F.array_sort(F.collect_list(F.struct("number", line.alias("line"))))
+    return x.groupBy("batch_id").agg(F.count(F.lit(1)).alias("items"), F.array_join(F.transform(rows, lambda r: r.line), "\n").alias("body"))
+
+
+def batch_topics(items: DataFrame, most: int = 5) -> DataFrame:
+    """batch_id, topic, size, rank: the topics with most items of every batch; of equal ones the one that comes first, then by name."""
+    x = items.select("batch_id", "item_id", F.explode("tags").alias("topic")).groupBy("batch_id", "topic").agg(F.count(F.lit(1)).alias("size"), F.min("item_id").alias("first"))
+    x = x.withColumn("rank", F.row_number().over(Window.partitionBy("batch_id").orderBy(F.desc("size"), "first", "topic")))
+    return x.filter(F.col("rank") <= most).select("batch_id", "topic", "size", "rank")

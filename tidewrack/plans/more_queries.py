@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewrack.functions import html as h
 from tidewrack.functions import text as t
 from tidewrack.functions.dates import parse_written_date
-from tidewrack.operators import store
+from tidewrack.operators import store, sync
 from tidewrack.plans.registry import query, table
 
 _PAGES = [
@@ -73,9 +72,11 @@ def related_top5(spark, d):
 @query("digest_body", """SELECT batch_id, count(*) AS items, string_agg(number || '. ' || coalesce(title, 'Untitled') || ' (' || content_type || ')', chr(10) ORDER BY number) AS body
     FROM (SELECT batch_id, title, content_type, row_number() OVER (PARTITION BY batch_id ORDER BY item_id) AS number FROM items WHERE batch_id <= 3) GROUP BY 1""")
 def digest_body(spark, d):
-    """Numbered digests of the first runs: a digest is one text, bounded by its batch."""
-    x = table(spark, d, "items").filter("batch_id <= 3").select("batch_id", "item_id", "content_type", F.coalesce("title", F.lit("Untitled")).alias("title"))
-    x = x.withColumn("number", F.row_number().over(Window.partitionBy("batch_id").orderBy("item_id")))
-    line = F.concat(F.col("number").cast("string"), F.lit(". "), "title", F.lit(" ("), "content_type", F.lit(")"))
-    rows = F.array_sort(F.collect_list(F.struct("number", line.alias("line"))))
-    return x.groupBy("batch_id").agg(F.count(F.lit(1)).alias("items"), F.array_join(F.transform(rows, lambda r: r.line), "\n").alias("body"))
+    """Numbered digests of the first runs."""
+    return sync.digest_bodies(table(spark, d, "items").filter("batch_id <= 3"))
+
+
+@query("digest_body_all")
+def digest_body_all(spark, d):
+    """``digest_body`` of every run."""
+    return sync.digest_bodies(table(spark, d, "items"))

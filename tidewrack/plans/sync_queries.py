@@ -159,15 +159,25 @@ def bfs_reachable(spark, d):
     return crawl.reach(links, spark.createDataFrame([(1,)], "node bigint"), 4)
 
 
+@query("bfs_reachable_all")
+def bfs_reachable_all(spark, d):
+    """``bfs_reachable`` over every edge."""
+    n = table(spark, d, "supplier").agg(F.max("s_suppkey")).first()[0]
+    links = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % n + 1).alias("dst")).distinct()
+    return crawl.reach(links, spark.createDataFrame([(1,)], "node bigint"), 4)
+
+
 @query("digest_topics", """WITH i AS (SELECT row_number() OVER (ORDER BY item_id) AS number, unnest(tags) AS topic FROM items WHERE tags IS NOT NULL AND batch_id = 31)
     SELECT topic, count(*) AS size FROM i GROUP BY 1 ORDER BY size DESC, min(number), topic LIMIT 5""")
 def digest_topics(spark, d):
-    """The five topics with most items of one batch; a batch is bounded, so its numbering may be one window."""
-    from pyspark.sql import Window
+    """The five topics with most items of one batch."""
+    return sync.batch_topics(table(spark, d, "items").filter("batch_id = 31")).select("topic", "size")
+
 
-    x = table(spark, d, "items").filter("tags is not null and batch_id = 31").select("item_id", F.explode("tags").alias("topic"))
-    x = x.withColumn("number", F.dense_rank().over(Window.orderBy("item_id"))).withColumn("pos", F.col("number"))
-    return sync.topic_groups(x.select("number").distinct(), x.select("topic", "number", "pos")).select("topic", "size")
+@query("digest_topics_all")
+def digest_topics_all(spark, d):
+    """``digest_topics`` of every batch."""
+    return sync.batch_topics(table(spark, d, "items"))
 
 
 @query("reply_conflicts", "SELECT coalesce(a.sender, b.sender) AS sender, a.ids AS chosen, b.ids AS skipped FROM (SELECT sender, list_sort(list(DISTINCT batch_id)) AS ids FROM messages WHERE raw_size % 2 = 0 GROUP BY 1) a FULL JOIN (SELECT m.sender, list_sort(list(DISTINCT m.batch_id)) AS ids FROM messages m WHERE raw_size % 2 = 1 AND NOT EXISTS (SELECT 1 FROM messages o WHERE o.sender = m.sender AND o.batch_id = m.batch_id AND o.raw_size % 2 = 0) GROUP BY 1) b ON a.sender = b.sender")
