@@ -5,8 +5,8 @@ import pytest
 
 from tidewrack.llm.blocks import BlockLabeller, fit_block_labeller, furniture_lines, page_blocks, tag_paths
 from tidewrack.llm.furniture import is_furniture, visible_lines, weak_labels
-from tidewrack.llm.residue import CoreHash, _core_hashes, core_text, is_residue, residue_rows
-from tidewrack.llm.words import WordHash, words_of
+from tidewrack.llm.residue import RADIUS, core_text, residue_rows, simhash, table_keys, table_masks, table_plan, template_set
+from tidewrack.llm.words import WordHash
 
 REAL = "Two rowers, one veteran, were screened before Monday. The trial was long and slow, and nobody found it dull."
 RESIDUE = [
@@ -17,48 +17,67 @@ RESIDUE = [
 FINE = [REAL, f'A page that says "please enable JavaScript" is not an article, Ann argues.\n\n{REAL}', f"Listeners asked what {{{{name}}}} means in our letters. {REAL}", f"Filler such as lorem ipsum has its uses, says Ann. {REAL}", "Ann traced the 404 Not Found replies to a stale cache.", "", "Home | Shop | Jobs", f"{REAL} [...]"]
 
 
-@pytest.mark.parametrize("text", RESIDUE)
-def test_residue(text):
-    assert is_residue(core_text(text))
-
-
-@pytest.mark.parametrize("text", FINE)
-def test_real_texts(text):
-    assert not is_residue(core_text(text))
-
-
-def test_labels_spread_to_near_copies(spark):
-    wall = "Our reader cannot open the entry you wanted because the shelf it stood on was cleared and its number went back into the pool of free numbers for later use by other entries of this collection and its many sister collections all over the network"
-    rows = [(i, t) for i, t in enumerate(RESIDUE + FINE)] + [(50, f"{wall}. asdf asdf asdf"), (51, None), (52, REAL * 2000)]
-    df = spark.createDataFrame(rows, "item_id bigint, text string")
-    got = {r.rec_id for r in residue_rows([("items", df, "item_id", "text")]).collect()}
-    assert got == set(range(len(RESIDUE)))
-    assert residue_rows([("items", df.limit(0), "item_id", "text")]).count() == 0
-
-
-def test_labels_spread_over_every_link_of_the_similarity(spark):
-    """Equal to brute force where links lie close above and below the similarity, over one link and over two."""
+def _found(spark, texts, **kw):
+    df = spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string")
+    return {r.rec_id for r in residue_rows([("items", df, "item_id", "text")], **kw).collect()}
+
+
+def test_residue_and_real_texts(spark):
+    texts = RESIDUE + FINE + [None, REAL * 2000, RESIDUE[0]]
+    assert _found(spark, texts) == {*range(len(RESIDUE)), len(texts) - 1}
+    assert _found(spark, []) == set()
+    # without trusted texts only unfilled slots tell, so the other labels came by spreading
+    assert _found(spark, texts, trusted=[]) == {i for i, t in enumerate(RESIDUE) if "<<" in t or "<%=" in t or "*|" in t}
+
+
+def test_labels_spread_over_two_links(spark):
+    """Texts without any trusted wording of their own are labelled through a chain of near copies."""
+    words = "our reader cannot open the entry you wanted because the shelf it stood on was cleared and its number went back into the pool of free numbers for later use by other entries of this collection and its many sister collections all over the network".split()
+    near, far = [*words[4:], "meanwhile", "ask", "staff"], [*words[8:], "meanwhile", "ask", "staff", "or", "wait"]
+    texts = [" ".join(x) for x in (words, near, far, [*words[25:], *"this one has become quite another text by now and nobody minds at all".split()])]
+    assert _found(spark, texts) == set()
+    assert _found(spark, texts, trusted=[texts[0]]) == {0, 1, 2}
+    assert _found(spark, [texts[0], texts[2], texts[3]], trusted=[texts[0]]) == {0}
+
+
+def test_tables_find_nine_in_ten_links_of_the_similarity():
+    r = np.random.default_rng(3)
+    for labelled in (100, 100_000):
+        masks = table_masks(*table_plan(labelled))
+        for n in (9, 90):
+            first, second = [], []
+            for _ in range(600):
+                x = r.integers(0, 2**63, 2 * n).astype(np.uint64)
+                common = n * 8 // 9  # a similarity of 0.8
+                first.append(np.unique(x[:n]))
+                second.append(np.unique(np.concatenate([x[:common], x[n : 2 * n - common]])))
+            a, b = simhash(first), simhash(second)
+            unequal = np.unpackbits((a ^ b).view(np.uint8), axis=1).sum(axis=1)
+            found = (table_keys(a, masks) == table_keys(b, masks)).any(axis=1) & (unequal <= RADIUS)
+            assert found.mean() >= 0.9, (labelled, n, found.mean())
+
+
+def test_labels_spread_over_links_of_the_similarity(spark):
+    """Nothing but what brute force labels, and nine in ten of it, where links lie close above and below the similarity."""
     r = random.Random(11)
     words = [a + b + c for a in "bdfgklmnprst" for b in "aeiou" for c in "bdfgklmnprst"]
-    rows = []
+    texts = []
     for family in range(40):
-        # a trusted core has slots; its copies lose them one by one, then words at the end
-        base = [f"{w}" for w in r.choices(words, k=92)]
-        first = base + ["{{name}}"] * 8
-        once = base + r.choices(words, k=r.choice([8, 14, 22]))
-        far = once[8 + family % 4 :] + r.choices(words, k=4)
-        rows += [" ".join(x) for x in (first, once, far, r.choices(words, k=100))]
-    df = spark.createDataFrame(list(enumerate(rows)), "item_id bigint, text string")
-    hashed = CoreHash()
-    sets = [set(_core_hashes(words_of(core_text(t)), hashed).tolist()) for t in rows]
+        # a trusted text has slots; its copies lose them, then words at the end
+        base = r.choices(words, k=92)
+        once = base + r.choices(words, k=r.choice([4, 8, 14]))
+        far = once[4 + family % 4 :] + r.choices(words, k=4)
+        texts += [" ".join(x) for x in (base + ["{{name}}"] + base[:12] + ["{{name}}", "{{a}}"] * 5, once, far, r.choices(words, k=100))]
+    hashed = WordHash()
+    sets, own = zip(*[template_set(core_text(t), hashed) for t in texts])
+    sets = [set(s.tolist()) for s in sets]
     links = {(a, b) for a in range(len(sets)) for b in range(len(sets)) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
-    want = trusted = {i for i, t in enumerate(rows) if is_residue(core_text(t))}
-    steps = []
+    want = trusted = {i for i, t in enumerate(own) if t}
     while new := {b for a, b in links if a in want} - want:
-        steps.append(len(new))
         want = want | new
-    assert len(trusted) == 40 and len(steps) == 2 and len(want) < 120, steps
-    assert {x.rec_id for x in residue_rows([("items", df, "item_id", "text")]).collect()} == want
+    got = _found(spark, texts, trusted=[])
+    assert len(trusted) == 40 and len(want) > 60
+    assert trusted <= got <= want and len(got - trusted) >= 0.9 * len(want - trusted)
 
 
 def test_furniture_wording():
