@@ -71,7 +71,8 @@ TRUSTED = [
     "XXXX headline XXXX", "Add headline (max. 200 characters)", "This is a sample headline. Edit or delete it, then start writing!", "[Insert headline here]", "Click to edit this headline", "Your headline here. Replace this text before publishing.", "Headline goes here.", "TODO: write headline", "TK – headline to come",
 ]
 # What accompanies residue and counts as no text of its own.
-TAILS = ["(?:request id|reference|referenz|incident|ray(?: id)?|réf|ref|error id)\\b[ .:#]*(?:[0-9a-f]+(?:-[0-9a-f]+)+)?", "reload", "try searching instead", "(?:go )?back to the homepage", "zur startseite", "retour à l'accueil", "volver al inicio", "neu laden", "recharger", "recargar", "[a-z]{2,12}/\\d+(?:\\.\\d+)+"]
+BUTTONS = ["reload", "try searching instead", "go back to the homepage", "back to the homepage", "zur startseite", "retour à l'accueil", "volver al inicio", "neu laden", "recharger", "recargar"]
+NUMBERS = ["request id", "reference", "referenz", "incident", "ray id", "ray", "réf", "ref", "error id"]
 # Parts of a page that templates name.
 PARTS = {"article", "caption", "description", "headline", "intro", "paragraph", "summary", "title", "subtitle", "teaser"}
 # Vocabulary of filler Latin.
@@ -80,7 +81,9 @@ LATIN = set(
     duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum
     risus mattis ornare fauci faucibus congue bibend bibendum sollic sollicitudin viverra vestra vestibulum tellus eros orci lacus pretium porta elementum vel vitae nunc mauris donec pellentesque cras justo odio dapibus ac facilisis egestas nam quam ligula""".split()
 )
-_TAILS = re.compile(r"(?:^|(?<=[\s.!?…;:]))(?:" + "|".join(TAILS) + r")[\s.!]*$", re.I | re.M)
+_BUTTONS = re.compile(r"(?:^|(?<=[\s.!?…;:]))(?:" + "|".join(BUTTONS) + r")[\s.!]*$", re.I | re.M)
+_NUMBERED = re.compile(r"\b(?:" + "|".join(NUMBERS) + r")[ .:#]+(?:[0-9a-f]+(?:-[0-9a-f]+)*)[\s.)]*$", re.I | re.M)
+_SERVER = re.compile(r"^[a-z]{2,12}/\d+(?:\.\d+)+$", re.I | re.M)
 _IDS = re.compile(r"\b(?=[0-9a-f-]*\d)[0-9a-f]{6,}(?:-[0-9a-f]{2,})*\b", re.I)
 _PATHS = re.compile(r"(?<![\w/<])/[\w./-]*\w")
 _BODY = re.compile(r"\bbody text\b", re.I)
@@ -100,7 +103,15 @@ def core_text(text: str) -> str:
 
 def template_words(core: str) -> tuple[list[str], int, int]:
     """The words of a core read as a template, how many slots it has, and how many words and slots before repeats were joined."""
-    t = _BODY.sub("paragraph", _PATHS.sub(" path ", _IDS.sub(" ", _TAILS.sub(" ", core))))
+    t, low = core, core.lower()
+    if _IDS.search(t):
+        t = _IDS.sub(" ", _NUMBERED.sub(" ", t))
+    if any(map(low.__contains__, BUTTONS)):
+        t = _BUTTONS.sub(" ", t)
+    if "/" in t:
+        t = _PATHS.sub(" path ", _SERVER.sub(" ", t))
+    if "body text" in low:
+        t = _BODY.sub("paragraph", t)
     raw = WORD.findall(t)
     written = set(raw)
     out: list[str] = []
@@ -140,19 +151,20 @@ _A |= np.uint64(1)
 def simhash(sets: list[np.ndarray]) -> np.ndarray:
     """(sets, 2) uint64: the signs of BITS sums of pseudo-random numbers, one each for every shingle; no set is empty."""
     out = np.empty((len(sets), 2), np.uint64)
-    sizes = np.array([len(s) for s in sets])
+    ends = np.cumsum([0, *map(len, sets)])
     a = 0
     while a < len(sets):
-        # a group has a bounded number of shingles, or is one set
-        b = a + max(1, int(np.searchsorted(np.cumsum(sizes[a:]), 20_000, "right")))
+        # a group is one set, or has so few shingles that its numbers stay in the cache
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + 3000, "right")) - 1)
         with np.errstate(over="ignore"):
             x = np.concatenate(sets[a:b])[:, None] * _A + _B
-            x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+            x ^= x >> np.uint64(31)
+            x *= np.uint64(0xBF58476D1CE4E5B9)
             x ^= x >> np.uint64(29)
-        starts = np.concatenate([[0], np.cumsum(sizes[a:b])[:-1]])
-        sums = np.add.reduceat(x.view(np.int8).astype(np.int32), starts, axis=0)
+        x, at = x.view(np.int8), ends[a : b + 1] - ends[a]
+        sums = np.array([x[i:j].sum(axis=0, dtype=np.int32) for i, j in zip(at, at[1:])])
         # the numbers are -128 .. 127, half below their middle
-        bits = sums * 2 + sizes[a:b, None] > 0
+        bits = sums * 2 + np.diff(at)[:, None] > 0
         out[a:b] = np.packbits(bits, axis=1).view(np.uint64)
         a = b
     return out
