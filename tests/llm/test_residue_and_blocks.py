@@ -5,6 +5,7 @@ import pytest
 
 from tidewrack.llm.blocks import BlockLabeller, fit_block_labeller, furniture_lines, page_blocks, tag_paths
 from tidewrack.llm.furniture import is_furniture, visible_lines, weak_labels
+from tidewrack.llm import residue
 from tidewrack.llm.residue import RADIUS, core_text, residue_rows, simhash, table_keys, table_masks, table_plan, template_set
 from tidewrack.llm.words import WordHash
 
@@ -30,8 +31,10 @@ def test_residue_and_real_texts(spark):
     assert _found(spark, texts, trusted=[]) == {i for i, t in enumerate(RESIDUE) if "<<" in t or "<%=" in t or "*|" in t}
 
 
-def test_labels_spread_over_two_links(spark):
-    """Texts without any trusted wording of their own are labelled through a chain of near copies."""
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_labels_spread_over_two_links(spark, monkeypatch, most):
+    """Texts without any trusted wording of their own are labelled through a chain of near copies, by either join."""
+    monkeypatch.setattr(residue, "BROADCAST_KEYS", most)
     words = "our reader cannot open the entry you wanted because the shelf it stood on was cleared and its number went back into the pool of free numbers for later use by other entries of this collection and its many sister collections all over the network".split()
     near, far = [*words[4:], "meanwhile", "ask", "staff"], [*words[8:], "meanwhile", "ask", "staff", "or", "wait"]
     texts = [" ".join(x) for x in (words, near, far, [*words[25:], *"this one has become quite another text by now and nobody minds at all".split()])]

@@ -45,6 +45,8 @@ RECALL = 0.93
 RADIUS = 30
 #: Bits of the bitmap of labelled keys at most, 16 MB.
 MAX_BITMAP = 1 << 27
+#: Keys of labelled nodes are broadcast up to this many (44 bytes each); beyond, the join sorts both sides.
+BROADCAST_KEYS = 500_000
 
 # Forms of unfilled slots.
 SLOT = re.compile(
@@ -248,9 +250,9 @@ def _keyed(nodes: DataFrame, masks: np.ndarray, bitmap: np.ndarray | None = None
     return nodes.select("k1", "k2", "s1", "s2", "n").mapInPandas(run, "key bigint, k1 bigint, k2 bigint, s1 bigint, s2 bigint, n int")
 
 
-def _bitmap(keyed: DataFrame) -> np.ndarray:
-    """The keys as a bitmap in words of 64 bits: at least 64 bits a key, but MAX_BITMAP at most."""
-    size = min(MAX_BITMAP, 1 << max(12, (64 * keyed.count()).bit_length()))
+def _bitmap(keyed: DataFrame, n: int) -> np.ndarray:
+    """The ``n`` keys as a bitmap in words of 64 bits: at least 64 bits a key, but MAX_BITMAP at most."""
+    size = min(MAX_BITMAP, 1 << max(12, (64 * n).bit_length()))
     place = keyed.select(F.col("key").bitwiseAND(F.lit(size - 1)).alias("p"))
     words = place.groupBy(F.expr("shiftright(p, 6)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("b")).toPandas()
     out = np.zeros(size // 64, np.uint64)
@@ -300,8 +302,11 @@ def residue_rows(sources: list[tuple[str, DataFrame, str, str]], trusted: list[s
 def _candidates(front: DataFrame, rest: DataFrame, masks: np.ndarray) -> DataFrame:
     """a1, a2 of the front and b1, b2 of the rest: pairs of a table with few unequal bits."""
     a = staged(_keyed(front, masks), "residue-keys")
-    b = _keyed(rest.repartition(work_slots(rest.sparkSession)), masks, _bitmap(a))
-    x = a.selectExpr("key", "k1 as a1", "k2 as a2", "s1 as t1", "s2 as t2", "n as m").join(b, "key")
+    n = a.count()
+    b = _keyed(rest.repartition(work_slots(rest.sparkSession)), masks, _bitmap(a, n))
+    a = a.selectExpr("key", "k1 as a1", "k2 as a2", "s1 as t1", "s2 as t2", "n as m")
+    # the other side's size is not known from its scan, so the planner must not choose it
+    x = b.join(F.broadcast(a) if n <= BROADCAST_KEYS else a.hint("merge"), "key")
     # the texts of a pair are alike only if their sizes are
     alike = (F.least("n", "m") >= SIMILARITY * F.greatest("n", "m") - 1e-6) & (F.expr("bit_count(s1 ^ t1) + bit_count(s2 ^ t2)") <= RADIUS)
     return x.filter(alike).selectExpr("a1", "a2", "k1 as b1", "k2 as b2").distinct()
