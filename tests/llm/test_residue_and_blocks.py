@@ -3,9 +3,9 @@ import random
 import numpy as np
 import pytest
 
-from tidewrack.llm.blocks import BlockLabeller, fit_block_labeller, furniture_lines, page_blocks, tag_paths
-from tidewrack.llm.furniture import is_furniture, visible_lines, weak_labels
 from tidewrack.llm import residue
+from tidewrack.llm.blocks import BlockLabeller, fit_block_labeller, furniture_lines, page_blocks, tag_paths
+from tidewrack.llm.furniture import general_furniture, is_furniture, recurrent_lines, visible_lines, weak_labels
 from tidewrack.llm.residue import RADIUS, core_text, residue_rows, simhash, table_keys, table_masks, table_plan, template_set
 from tidewrack.llm.words import WordHash
 
@@ -85,7 +85,9 @@ def test_labels_spread_over_links_of_the_similarity(spark):
 
 def test_furniture_wording():
     for s in ("Home | Shop | Jobs", "* Über uns", "[Press](/press) [Team](/team)", "© 2023 Quartz Fold. All rights reserved.", "We use cookies to count visitors.", "More: How it ended", "Shop > News > A title", "12 comments · Log in to reply"):
-        assert is_furniture(s), s
+        assert general_furniture(s), s
+    assert is_furniture("Made with care in Riga") and not general_furniture("Made with care in Riga")
+    assert general_furniture(" | ".join(["Home", "Shop", "Jobs"] * 40)) and weak_labels(["Related posts", "A title " * 40]) == [1, 1]  # of any length
     for s in (REAL, "How it ended", "## Home and garden", "The shop closed at noon."):
         assert not is_furniture(s), s
     assert weak_labels(["A title", "", REAL, "Related posts", "» One", "Two", REAL]) == [0, -1, 0, 1, 1, 1, 0]
@@ -118,6 +120,22 @@ def test_labeller_learns_from_context(spark):
     assert furniture_lines([("items", df.limit(0), "item_id", "text")]).count() == 0
 
 
+def test_labeller_learns_wording_that_no_list_has():
+    """A site's own lines are learnt from their recurrence, and found on pages it was not trained on."""
+    r = random.Random(2)
+    words = [a + b for a in ("mor", "tel", "vas", "rin", "dop", "kel") for b in ("an", "ost", "ire", "ulm", "ek")]
+    line = lambda n: " ".join(r.choices(words, k=n)).capitalize() + "."
+    own = [["Fernlight keeps the lamps on", "A word from the keepers of Fernlight"], ["Harrow and sons, printers", "Printed matter by Harrow"]]
+    pages = [[own[k % 2][0], line(5), line(30), line(25), own[k % 2][1]] for k in range(120)]
+    assert not any(general_furniture(s) for p in pages for s in p)
+    assert recurrent_lines(pages) == {s for site in own for s in site}
+    assert recurrent_lines([["a", "b c"]] * 9) == set()  # versions of one text
+    model, hashed = fit_block_labeller(["\n".join(p) for p in pages[:100]]), WordHash()
+    for p in pages[100:]:
+        _, w, path, shape, _ = page_blocks("\n".join(p), hashed)
+        assert [x > 0 for x in model.score([(w, path, shape)])[0]] == [True, False, False, False, True]
+
+
 def test_gradients():
     """Back-propagation agrees with differences of the loss."""
     hashed = WordHash()

@@ -2,12 +2,13 @@
 
 A recurrent block labeller. A page is the sequence of its lines with visible
 text; each is read as a vector of its hashed words, its hashed tag path and a
-few shapes, among them whether its wording alone tells furniture. A bidirectional LSTM (plain numpy) reads the sequence both ways,
+few shapes. A bidirectional LSTM (plain numpy) reads the sequence both ways,
 so that every line is classified with the whole page as context, and a
 logistic layer says whether the line is furniture.
 
 The network is trained on a bounded sample of pages whose lines are labelled
-weakly, by wording (see ``furniture``). Hidden layers and embeddings are small
+weakly, by wording that sites have in common and by recurrence on pages of
+different content (see ``furniture``); it is told neither. Hidden layers and embeddings are small
 enough to be broadcast (about 0.4 MB); labelling is a map over pages without a
 shuffle other than the one that spreads large files over the cores.
 """
@@ -16,24 +17,22 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewrack.llm.furniture import is_furniture, visible_lines, weak_labels
+from tidewrack.llm.furniture import recurrent_lines, visible_lines, weak_labels
 from tidewrack.llm.words import WordHash, mix, words_of
 from tidewrack.session import work_slots
 
 WORD_BITS, WORD_DIM = 12, 16
 PATH_BITS, PATH_DIM = 8, 4
-SHAPES, HIDDEN = 13, 16
+SHAPES, HIDDEN = 12, 16
 #: Pages of each table that the network is trained on, taken in order of a hash of their ids.
-MAX_PAGES = 700
+MAX_PAGES = 1200
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)\b[^>]*?(/?)>")
-_worded = lru_cache(maxsize=200_000)(is_furniture)
 _VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "area", "base", "col", "source"}
 _INLINE = {"a", "b", "i", "em", "strong", "span", "u", "small", "code"}
 
@@ -76,7 +75,7 @@ def page_blocks(text: str, hashed: WordHash) -> tuple[np.ndarray, list[np.ndarra
         path_ids.append(paths[k])
         n = len(s)
         shapes[r] = (
-            min(n, 400) / 200, min(len(w), 60) / 30, s[-1] in ".!?…", s[-1] == ":", sum(map(s.count, "|·•>")) / (1 + len(w)), s[0] in "*-»›•", s[0] == "#", "](" in s or "http" in s, any(c.isdigit() for c in s), 2 * r / max(1, len(nos) - 1) - 1, " > " in s, 0 < s.find(":") < 22, _worded(s),
+            min(n, 400) / 200, min(len(w), 60) / 30, s[-1] in ".!?…", s[-1] == ":", sum(map(s.count, "|·•>")) / (1 + len(w)), s[0] in "*-»›•", s[0] == "#", "](" in s or "http" in s, any(c.isdigit() for c in s), 2 * r / max(1, len(nos) - 1) - 1, " > " in s, 0 < s.find(":") < 22,
         )
     p = (mix(hashed(path_ids), 6) >> np.uint64(64 - PATH_BITS)).astype(np.int32) if path_ids else np.zeros(0, np.int32)
     return np.array(nos, np.int32) + 1, words, p, shapes, texts
@@ -159,7 +158,7 @@ class BlockLabeller:
             a = b
         return out
 
-    def train(self, pages: list[tuple], labels: list[np.ndarray], epochs: int = 6, batch: int = 32, rate: float = 0.01) -> None:
+    def train(self, pages: list[tuple], labels: list[np.ndarray], epochs: int = 8, batch: int = 32, rate: float = 0.01) -> None:
         """Back-propagation through time with Adam, on batches of pages of similar length."""
         m1 = {k: np.zeros_like(v) for k, v in self.p.items()}
         m2 = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -207,21 +206,18 @@ class BlockLabeller:
 
 
 def fit_block_labeller(texts: list[str], seed: int = 0) -> BlockLabeller | None:
-    """Train on pages labelled weakly by wording; None where no page has a visible line."""
-    hashed, pages, labels = WordHash(), [], []
+    """Train on pages labelled weakly, by general wording and by recurrence; None where no page has a visible line."""
+    hashed, pages, shown = WordHash(), [], []
     for t in texts:
-        _, words, paths, shapes, shown = page_blocks(t, hashed)
+        _, words, paths, shapes, lines = page_blocks(t, hashed)
         if words:
             pages.append((words, paths, shapes))
-            labels.append(np.array(weak_labels(shown), np.float32))
+            shown.append(lines)
     if not pages:
         return None
-    rng = np.random.default_rng(seed)
-    for _, _, shapes in pages:
-        if rng.random() < 0.4:
-            shapes[:, -1] = 0  # without the wording cue, words and context must do
+    again = recurrent_lines(shown)
     m = BlockLabeller(seed)
-    m.train(pages, labels)
+    m.train(pages, [np.array(weak_labels(lines, again), np.float32) for lines in shown])
     return m
 
 

@@ -1,7 +1,9 @@
 """Wording of site furniture: weak labels for blocks of a page.
 
-Used as the teacher of the block labeller (problem 2), which generalises from
-it, and to set furniture aside where residue is judged (problem 1).
+The general wording is one teacher of the block labeller (problem 2), which
+generalises from it; the other is which lines recur on pages of different
+content. Where residue is judged (problem 1), furniture is set aside by the
+general wording and that of single sites.
 """
 
 from __future__ import annotations
@@ -26,18 +28,17 @@ WHOLE_LINE = [
     r"(?:toggle navigation|skip to (?:main )?content|menu|menü|menú|back to top|zum inhalt(?: springen)?|zur navigation|nach oben|aller au (?:contenu|menu)|haut de page|retour en haut|(?:saltar|ir) al contenido|volver arriba|navigation (?:umschalten|ein-/ausblenden)|navigation)",
     # consent
     r"(?:accept all|reject all|alle akzeptieren|tout accepter|aceptar todo)\b.*",
-    r"(?:this site stores small files|by continuing to browse|your privacy:|al continuar acepta|en poursuivant, vous acceptez|mit der weiteren nutzung|diese (?:seite|website) speichert|ihre privatsphäre|su privacidad|votre vie privée|ce site (?:enregistre|stocke)|este sitio (?:guarda|almacena)).*",
+    r"(?:your privacy:|ihre privatsphäre|su privacidad|votre vie privée).*",
     # sharing
     r"(?:share this\b|share on social media|tweet \||like \d+ ·|compartir\b|partager\b|beitrag teilen|teilen\b|share \|).*",
     # subscription
-    r"(?:join \d+ readers|never miss a post|get our letter|enjoyed this\? subscribe|nuestra carta cada|ya somos \d+|déjà \d+ abonnés|notre lettre chaque|jeden \w+ unser rundbrief|schon \d+ leser|inscrivez-vous|suscríbase|jetzt eintragen|subscribe to our|sign up for|no te pierdas|ne manquez|verpassen sie).*",
+    r"(?:never miss a post|inscrivez-vous|suscríbase|jetzt eintragen|subscribe to our|sign up for|no te pierdas|ne manquez|verpassen sie).*",
     # comments
     r"(?:leave a comment|comments are closed|\d+ comments?|\d+ kommentare?|\d+ commentaires?|\d+ comentarios?|laisser un commentaire|deje un comentario|kommentar schreiben|enable javascript to load the comments|kommentare sind geschlossen|les commentaires sont fermés|comentarios cerrados)\b.*",
     # advertising
     r"(?:advertisement|sponsored(?: content)?|ad – scroll to continue|article continues below|anzeige|werbung|werbung –.*|publicité|publicidad|la suite après la publicité|sigue después del anuncio|contenu sponsorisé|contenido patrocinado|gesponsert(?:er inhalt)?|der artikel geht unten weiter)",
     # foot of the page
     r"(?:©|\(c\)|copyright)\s.*",
-    r"made with care in .*",
     r"(?:impressum \||mentions légales|aviso legal \||terms \|).*",
     # letters
     r"(?:view this (?:letter|e-?mail) in your browser|trouble reading\?.*|voir en ligne|ver en (?:línea|el navegador)|voir dans le navigateur|im browser (?:ansehen|öffnen)|online ansehen|problèmes d'affichage.*|¿problemas para leer.*)",
@@ -50,15 +51,19 @@ CONTAINING = [
     ("alle rechte vorbehalten", r".*"),
     ("tous droits réservés", r".*"),
     ("todos los derechos reservados", r".*"),
-    (" is an independent publication. ", r".*"),
-    (" ist eine unabhängige ", r".*"),
-    (" est une publication indépendante", r".*"),
-    (" es una publicación independiente", r".*"),
+]
+# Lines of single sites; the block labeller does not learn from them.
+SITE_LINES = [
+    r"(?:this site stores small files|by continuing to browse|al continuar acepta|en poursuivant, vous acceptez|mit der weiteren nutzung|diese (?:seite|website) speichert|ce site (?:enregistre|stocke)|este sitio (?:guarda|almacena)).*",
+    r"(?:join \d+ readers|get our letter|enjoyed this\? subscribe|nuestra carta cada|ya somos \d+|déjà \d+ abonnés|notre lettre chaque|jeden \w+ unser rundbrief|schon \d+ leser).*",
+    r"made with care in .*",
+    r".* (?:is an independent publication\. |ist eine unabhängige |est une publication indépendante|es una publicación independiente).*",
 ]
 # Heads of lists of other articles, and pointers to one other article.
 RELATED_HEAD = r"(?:you may also like|related(?: posts| articles)?|most read(?: this week)?|recommended for you|more from .+|read next|popular(?: posts)?|lo más leído|más de .+|también le puede interesar|à lire aussi|les plus lus|plus de .+|meistgelesen|das könnte sie auch interessieren|mehr (?:von|aus) .+|vous aimerez aussi|auch interessant|weitere artikel|notas relacionadas|trending(?: now)?)"
 POINTER = r"(?:(?:more|read (?:more|also|next)|see also|lire aussi|à lire aussi|voir aussi|lea también|léase también|más|vea también|véase también|mehr(?: dazu)?|lesen sie auch|siehe auch|mehr zum thema)\s?:|(?:read (?:also|next)|see also|lire aussi|à lire aussi|voir aussi|lea también|vea también|véase también|lesen sie auch|siehe auch)\s?[–—-])\s.+"
 _WHOLE = re.compile(r"^(?:" + "|".join(WHOLE_LINE) + r")\s*$", re.I)
+_SITE = re.compile(r"^(?:" + "|".join(SITE_LINES) + r")\s*$", re.I)
 _CONTAINING = [(w, re.compile(f"^{p}$", re.I)) for w, p in CONTAINING]
 _RELATED = re.compile(rf"^{RELATED_HEAD}\s*$", re.I)
 _POINTER = re.compile(rf"^{POINTER}$", re.I)
@@ -112,30 +117,52 @@ def is_menu(s: str) -> bool:
 
 
 def is_furniture(s: str) -> bool:
-    """Whether a visible line is furniture by itself."""
+    """Whether a visible line is furniture by its wording, that of single sites included."""
+    return bool(general_furniture(s) or _SITE.match(s))
+
+
+def general_furniture(s: str) -> bool:
+    """Whether a visible line is furniture by wording that sites have in common."""
     if _WHOLE.match(s):
         return True
     low = s.lower()
     if any(w in low and p.match(s) for w, p in _CONTAINING):
         return True
-    if len(s) > 200:
-        return False
     return bool(_RELATED.match(s) or _POINTER.match(s) or (" > " in s and _CRUMB.match(s)) or is_menu(s))
 
 
-def weak_labels(lines: list[str]) -> list[int]:
+_DIGITS = re.compile(r"\d+")
+
+
+def recurrent_lines(pages: list[list[str]], least: int = 3) -> set[str]:
+    """Lines, numbers aside, that occur on pages of ``least`` different contents or more; ``pages`` are visible lines.
+
+    The longest line stands for the content of a page, so that versions of one
+    text count as one.
+    """
+    at: dict[str, set[str]] = {}
+    for lines in pages:
+        lines = [_DIGITS.sub("0", s) for s in lines]
+        longest = max(lines, key=len, default="")
+        for s in lines:
+            if s and s != longest:
+                at.setdefault(s, set()).add(longest)
+    return {s for s, contents in at.items() if len(contents) >= least}
+
+
+def weak_labels(lines: list[str], recurrent: set[str] = frozenset()) -> list[int]:
     """1 for furniture, 0 for article, -1 for lines without visible text; ``lines`` are visible texts in order."""
     out, listing = [], False
     for s in lines:
         if not s:
             out.append(-1)
             continue
-        if is_furniture(s):
+        if general_furniture(s):
             listing = bool(_RELATED.match(s))
             out.append(1)
-        elif listing and not _END.search(s) and len(s) < 140:
+        elif listing and not _END.search(s):
             out.append(1)  # titles listed under such a head
         else:
             listing = False
-            out.append(0)
+            out.append(int(bool(recurrent) and _DIGITS.sub("0", s) in recurrent))
     return out
