@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewrack.operators.upsert import UpsertStore, canonical_message_id, repeated_deliveries
@@ -42,3 +43,36 @@ def test_hot_identifier(spark):
     df = spark.range(3000).selectExpr("id as delivery_id", "cast(id % 5 as int) as batch_id", "if(id % 3 = 0, '<hot@h>', concat('<', id, '@h>')) as message_id", "timestamp_seconds(10000 - id) as received_at", "'' as mid")
     got = {r[0] for r in repeated_deliveries(df).collect()}
     assert got == {i for i in range(0, 3000, 3)} - {2997}
+
+
+def test_store_is_reopened_and_keeps_whole_rows(spark, tmp_path):
+    path, order = f"file://{tmp_path}/store", ["v"]
+    rows = lambda s: sorted((r.key, r.v, r.body) for r in s.read().collect())
+    a = spark.createDataFrame([("k", 2, "late"), ("l", 5, None), ("k", 1, "early")], "key string, v int, body string")
+    b = spark.createDataFrame([("k", 0, "first"), ("m", 7, "new")], "key string, v int, body string")
+    UpsertStore(spark, "key", order, 4, path).upsert(a, "1")
+    s = UpsertStore(spark, "key", order, path=path)
+    assert s.buckets == 4 and s.runs == ["1"] and rows(s) == [("k", 1, "early"), ("l", 5, None)]
+    s.upsert(b, "2")
+    s.upsert(a, "1")  # a replay
+    (tmp_path / "store" / "run-cut-short").mkdir()  # a run that was not committed
+    want = [("k", 0, "first"), ("l", 5, None), ("m", 7, "new")]
+    s = UpsertStore(spark, "key", order, path=path)
+    assert sorted(s.runs) == ["1", "2"] and rows(s) == want
+    s.compact()
+    s = UpsertStore(spark, "key", order, path=path)
+    assert len(s.runs) == 1 and rows(s) == want
+    assert len([p for p in (tmp_path / "store").iterdir() if p.name.startswith("run-")]) == 1
+    s.upsert(b, "3")
+    assert rows(UpsertStore(spark, "key", order, path=path)) == want
+    with pytest.raises(ValueError):
+        UpsertStore(spark, "body", order, path=path)
+
+
+def test_compaction_neither_shuffles_nor_sorts(spark):
+    s = UpsertStore(spark, "key", ["v"], 4)
+    for k in range(2):
+        s.upsert(spark.range(k, 2000, 2).selectExpr("concat('m', id % 900) as key", "id as v", "'x' as body"), str(k))
+    with s._in_order():
+        plan = s.read()._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan, plan
