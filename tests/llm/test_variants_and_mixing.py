@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tidewrack.llm import variants
 from tidewrack.llm.mixing import mix_sources, reached_shares, token_counts
 from tidewrack.llm.variants import similar_pairs
 from tidewrack.llm.words import words_of
@@ -33,6 +34,19 @@ def test_pairs_equal_brute_force(spark):
     assert similar_pairs(df.limit(0)).count() == 0
 
 
+def test_large_classes_are_paired_in_blocks(spark, monkeypatch):
+    """All pairs within and across classes of more members than a block, each once; ids that repeat are in one class."""
+    monkeypatch.setattr(variants, "BLOCK", 4)
+    r = random.Random(9)
+    base = [f"w{k}" for k in r.choices(range(400), k=120)]
+    other = base[:60] + [f"v{k}" for k in range(8)] + base[64:]
+    rows = [(k, None, " ".join(base)) for k in range(23)] + [(k, "x", " ".join(other)) for k in range(50, 61)] + [(90, None, " ".join(f"u{k}" for k in range(80))), (3, None, " ".join(f"z{k}" for k in range(80)))]
+    got = [tuple(x) for x in similar_pairs(spark.createDataFrame(rows, "item_id bigint, title string, text string")).collect()]
+    ids = [*range(23), *range(50, 61)]
+    want = {(a, b) for a in ids for b in ids if a < b}
+    assert len(got) == len(set(got)) and {p for p in got if 3 not in p} == {p for p in want if 3 not in p} and set(got) <= want
+
+
 def _docs(spark, sizes):
     rows = [(k * 1000 + i, f"s{k}", " ".join(["word"] * (5 + i % 7))) for k, n in enumerate(sizes) for i in range(n)]
     rows += [(99990, None, "no source"), (99991, "s0", None), (99992, "s0", ""), (99993, "unknown", "text")]

@@ -31,8 +31,10 @@ WIDTH = 4
 #: 18 segments: a pair of similarity 0.5 shares a variant with probability 1 - (1 - 0.3125)^18 = 0.9988, one of 0.6 with 0.99997.
 SEGMENTS = 18
 SLOTS = WIDTH * SEGMENTS
-#: Ids of records with candidates are broadcast up to this many; beyond, the join shuffles.
-BROADCAST_IDS = 300_000
+#: Variant keys to a partition of their join, at most on average.
+KEYS_A_PART = 300_000
+#: Members of a class that are paired with as many others in one go.
+BLOCK = 1000
 #: Bits of 128 in which the sketches of a candidate pair may differ: 64 at similarity 0, 32 +- 5 at 0.5.
 SKETCH_BITS = 54
 
@@ -54,30 +56,38 @@ def least_hashes(g: np.ndarray) -> np.ndarray:
     return out
 
 
+def _signed(ids: list[int], sets: list[np.ndarray]) -> pd.DataFrame:
+    """item_id, same1, same2, n, keys, s1, s2 of records with these sets, none of them empty."""
+    if not ids:
+        return pd.DataFrame({c: pd.Series([], dtype=object if c == "keys" else "int64") for c in ("item_id", "same1", "same2", "n", "keys", "s1", "s2")})
+    starts = np.cumsum([0, *map(len, sets)])
+    every = np.concatenate(sets)
+    least = np.stack([least_hashes(g) for g in sets])
+    place = np.arange(WIDTH, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        same1 = np.add.reduceat(mix(every, 1), starts[:-1])
+        each = mix(mix(least[:, :SLOTS], 7).reshape(-1, SEGMENTS, WIDTH) * np.uint64(31) + place, 11)  # a symbol at its place
+        whole = each.sum(axis=2, dtype=np.uint64)[:, :, None]
+        keys = mix((whole - each) * np.uint64(31) + place + np.uint64(5) * np.arange(SEGMENTS, dtype=np.uint64)[:, None], 13)
+    same2 = np.bitwise_xor.reduceat(mix(every, 2), starts[:-1])
+    bits = np.packbits((mix(least[:, SLOTS:], 9) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+    out = {"item_id": ids, "same1": same1.view(np.int64), "same2": same2.view(np.int64), "n": np.diff(starts), "keys": list(keys.reshape(len(ids), -1).view(np.int64)), "s1": bits[:, 0], "s2": bits[:, 1]}
+    return pd.DataFrame(out)
+
+
 def signatures(items: DataFrame, min_words: int) -> DataFrame:
     """item_id, same (128-bit identity of the set, as two longs), n, keys, s1, s2 for records of enough words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashed = WordHash()
-        powers = np.uint64(1) << np.arange(64, dtype=np.uint64)
         for b in batches:
-            cols: dict[str, list] = {c: [] for c in ("item_id", "same1", "same2", "n", "keys", "s1", "s2")}
+            ids, sets = [], []
             for i, title, text in zip(b["item_id"], b["title"], b["text"]):
                 w = words_of(text)
-                if len(w) < min_words:
-                    continue
-                g = np.unique(shingles(hashed(words_of(title) + w), SHINGLE))
-                least = least_hashes(g)
-                seg = mix(least[:SLOTS], 7).reshape(SEGMENTS, WIDTH)
-                place = np.arange(WIDTH, dtype=np.uint64)
-                with np.errstate(over="ignore"):
-                    each = mix(seg * np.uint64(31) + place, 11)  # a symbol at its place
-                    whole = each.sum(axis=1, dtype=np.uint64)[:, None]
-                    keys = mix((whole - each) * np.uint64(31) + place + np.uint64(5) * np.arange(SEGMENTS, dtype=np.uint64)[:, None], 13).ravel()
-                bits = mix(least[SLOTS:], 9) & np.uint64(1)
-                for c, v in zip(cols, (i, int(mix(g, 1).sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mix(g, 2)).view(np.int64)), len(g), keys.view(np.int64), int((bits[:64] * powers).sum(dtype=np.uint64).view(np.int64)), int((bits[64:] * powers).sum(dtype=np.uint64).view(np.int64)))):
-                    cols[c].append(v)
-            yield pd.DataFrame({c: pd.Series(v, dtype=object if c == "keys" else "int64") for c, v in cols.items()})
+                if len(w) >= min_words:
+                    ids.append(i)
+                    sets.append(np.unique(shingles(hashed(words_of(title) + w), SHINGLE)))
+            yield _signed(ids, sets)
 
     schema = "item_id bigint, same1 bigint, same2 bigint, n int, keys array<bigint>, s1 bigint, s2 bigint"
     x = items.filter("item_id is not null and text is not null").select("item_id", "title", "text").repartition(work_slots(items.sparkSession, 4))
@@ -91,30 +101,32 @@ def similar_classes(items: DataFrame, threshold: float = 0.5, min_words: int = 5
     representative is the least item_id. Copies are never paired here.
     """
     sig = staged(signatures(items, min_words), "variant-signatures")
-    # a hot class costs one row per map task
-    rep = staged(sig.groupBy("same1", "same2").agg(F.min("item_id").alias("rep")), "variant-classes")
-    side = F.broadcast(rep) if rep.count() <= BROADCAST_IDS else rep
-    classed = sig.join(side, ["same1", "same2"])
-    members = classed.select("item_id", "rep").distinct()
-    reps = classed.filter(F.col("item_id") == F.col("rep"))
-    keyed = reps.select(F.explode("keys").alias("key"), F.col("item_id").alias("r"), "n")
-    a, b = keyed.alias("a"), keyed.alias("b")
+    n_keys = sig.count() * SLOTS
+    # no side is broadcast: all of them grow with the data
+    first = sig.groupBy("same1", "same2").agg(F.min("item_id").alias("rep"))  # a hot class costs one row per map task
+    rep = staged(first, "variant-classes")
+    members = sig.select("same1", "same2", "item_id").hint("merge").join(rep, ["same1", "same2"]).groupBy("item_id").agg(F.min("rep").alias("rep"))
+    reps = staged(sig.drop("same1", "same2").hint("merge").join(rep.selectExpr("rep as item_id"), "item_id", "left_semi").dropDuplicates(["item_id"]), "variant-reps")
+    keyed = reps.select(F.explode("keys").alias("key"), F.col("item_id").alias("r"), "n").repartition(_parts(sig.sparkSession, n_keys), "key")
+    a, b = keyed.hint("merge").alias("a"), keyed.alias("b")
     alike = F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n")
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.r") < F.col("b.r")) & alike).select(F.col("a.r").alias("a"), F.col("b.r").alias("b")).distinct()
-    print_of = reps.select("item_id", "s1", "s2").dropDuplicates(["item_id"])
-    pairs = pairs.join(print_of.selectExpr("item_id as a", "s1 as a1", "s2 as a2"), "a").join(print_of.selectExpr("item_id as b", "s1 as b1", "s2 as b2"), "b")
-    pairs = pairs.filter(F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2"))) <= SKETCH_BITS)
-    pairs = staged(pairs.select("a", "b"), "variant-candidates")
+    pairs = pairs.hint("merge").join(reps.selectExpr("item_id as a", "s1 as a1", "s2 as a2"), "a").hint("merge").join(reps.selectExpr("item_id as b", "s1 as b1", "s2 as b2"), "b")
+    pairs = staged(pairs.filter(F.expr("bit_count(a1 ^ b1) + bit_count(a2 ^ b2)") <= SKETCH_BITS).select("a", "b"), "variant-candidates")
     # whole sets only of records that have a candidate
     ids = pairs.select(F.col("a").alias("item_id")).unionByName(pairs.select(F.col("b").alias("item_id"))).distinct()
-    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    grams = _sets(items.join(side, "item_id", "left_semi"))
-    pairs = pairs.join(grams.selectExpr("item_id as a", "grams as ga"), "a").join(grams.selectExpr("item_id as b", "grams as gb"), "b")
+    grams = staged(_sets(items.select("item_id", "title", "text").hint("merge").join(ids, "item_id", "left_semi")), "variant-sets")
+    pairs = pairs.hint("merge").join(grams.selectExpr("item_id as a", "grams as ga"), "a").hint("merge").join(grams.selectExpr("item_id as b", "grams as gb"), "b")
     both, na, nb = F.size(F.array_intersect("ga", "gb")), F.size("ga"), F.size("gb")
     links = pairs.filter(both >= threshold * (na + nb - both)).selectExpr("a as rep_a", "b as rep_b")
     return members, links
 
 
+def _parts(spark, rows: int) -> int:
+    """Partitions for so many short rows: the session's number, or more where one would get over KEYS_A_PART."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-rows // KEYS_A_PART))
+
+
 def _sets(items: DataFrame) -> DataFrame:
     """item_id, grams: the set of word sequences of each record."""
 
@@ -137,8 +149,20 @@ def similar_pairs(items: DataFrame, threshold: float = 0.5, min_words: int = 50)
     """
     members, links = similar_classes(items, threshold, min_words)
     members, links = staged(members, "variant-members"), staged(links, "variant-links")
-    a = members.selectExpr("item_id as x", "rep as rep_a")
-    b = members.selectExpr("item_id as y", "rep as rep_b")
-    across = links.join(a, "rep_a").join(b, "rep_b").select("x", "y")
-    within = a.join(b, F.col("rep_a") == F.col("rep_b")).filter("x < y").select("x", "y")
-    return across.unionByName(within).select(F.least("x", "y").alias("item_id_a"), F.greatest("x", "y").alias("item_id_b")).filter("item_id_a <> item_id_b").distinct()
+    size = members.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n"))
+    size = staged(size, "variant-sizes")
+    block = F.pmod(F.xxhash64("item_id"), F.col("blocks")).cast("int").alias("block")
+    # a block has about BLOCK members, whatever the size of its class
+    lists = staged(members.hint("merge").join(size, "rep").groupBy("rep", block).agg(F.collect_list("item_id").alias("ids")), "variant-blocks")
+    within = size.filter("n > 1").selectExpr("rep as rep_a", "rep as rep_b")
+    of = lambda t: size.selectExpr(f"rep as rep_{t}", f"blocks as blocks_{t}")
+    x = links.unionByName(within).hint("merge").join(of("a"), "rep_a").hint("merge").join(of("b"), "rep_b")
+    to = lambda t: F.explode(F.sequence(F.lit(0), F.col(f"blocks_{t}") - 1)).alias(f"block_{t}")
+    x = x.select("rep_a", "rep_b", "blocks_b", to("a")).select("rep_a", "rep_b", "block_a", to("b"))
+    x = x.filter("rep_a <> rep_b or block_a <= block_b")
+    side = lambda t: lists.selectExpr(f"rep as rep_{t}", f"block as block_{t}", f"ids as ids_{t}")
+    x = x.hint("merge").join(side("a"), ["rep_a", "block_a"]).hint("merge").join(side("b"), ["rep_b", "block_b"])
+    # pairs of blocks are spread before they are expanded, so that no task has all pairs of a class
+    x = x.select((F.col("rep_a") == F.col("rep_b")).alias("own"), (F.col("block_a") == F.col("block_b")).alias("one"), "ids_a", "ids_b").repartition(_parts(items.sparkSession, 0))
+    x = x.select("own", "one", F.explode("ids_a").alias("x"), "ids_b").select("own", "one", "x", F.explode("ids_b").alias("y"))
+    return x.filter("not (own and one) or x < y").select(F.least("x", "y").alias("item_id_a"), F.greatest("x", "y").alias("item_id_b"))
