@@ -1,7 +1,9 @@
 import os
 
+import pytest
+
 from tidewrack import session
-from tidewrack.session import drop_stages, shared_dir, staged
+from tidewrack.session import drop_stages, shared_dir, spread, staged
 
 
 class Unset:
@@ -9,6 +11,7 @@ class Unset:
 
     class sparkContext:
         applicationId = "app-x"
+        master = "local[4]"
 
         @staticmethod
         def getConf():
@@ -28,6 +31,29 @@ def test_own_folder_only_where_unset(spark):
         assert shared_dir(spark) == told.rstrip("/")
 
 
+def test_cluster_must_name_a_folder(monkeypatch):
+    for master in ("spark://h:7077", "yarn", "local-cluster[3,4,1024]", "k8s://h"):
+        monkeypatch.setattr(Unset.sparkContext, "master", master)
+        with pytest.raises(RuntimeError):
+            shared_dir(Unset)
+    for master in ("local", "local[*]", "local[8]", "local[4,2]"):
+        monkeypatch.setattr(Unset.sparkContext, "master", master)
+        assert shared_dir(Unset)
+
+
+def test_only_small_scans_are_spread(spark, tmp_path):
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    many, few = f"{tmp_path}/many", f"{tmp_path}/few"
+    spark.range(0, 900_000, 1, 9).selectExpr("id", "uuid() as s").write.parquet(many)
+    spark.range(9).write.parquet(few)
+    assert "Exchange" in plan(spread(spark.read.parquet(few).coalesce(1)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        assert "Exchange" not in plan(spread(spark.read.parquet(many).filter("id > 5")))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_stage_tables_and_cleanup(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(session, "shared_dir", lambda s: f"file://{tmp_path}")
     df = spark.createDataFrame([(1, "a", None), (2, None, [1.5])], "i int, s string, x array<double>")

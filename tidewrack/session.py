@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -26,11 +27,14 @@ _own_dirs: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests on one machine) a temporary folder
-    is made, once for the application.
+    Only where the setting is absent and all tasks run on this machine (tests)
+    a temporary folder is made, once for the application; on a cluster a
+    missing setting is an error.
     """
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.match(r"local(\[[^,]*(,[^,]*)?\])?$", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own_dirs:
             _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="tidewrack-")
@@ -69,6 +73,15 @@ def work_slots(spark: SparkSession, per_core: int = 2) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), per_core * spark.sparkContext.defaultParallelism)
 
 
+def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
+    """A scan (with filters, projections and unions) as it is where it keeps all cores busy, else spread over ``work_slots``.
+
+    Large inputs have many splits and are not shuffled.
+    """
+    spark = df.sparkSession
+    return df if df._jdf.rdd().getNumPartitions() >= spark.sparkContext.defaultParallelism else df.repartition(work_slots(spark, per_core))
+
+
 def tokenizer_dir() -> str:
     """Folder with the public vocabulary files; ``TIDEWRACK_TOKENIZERS`` overrides it."""
     return os.environ.get("TIDEWRACK_TOKENIZERS", "/opt/tokenizers")
