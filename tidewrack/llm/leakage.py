@@ -3,17 +3,18 @@
 A prefix-filtered set join between documents and held-out items on shingles of
 five words:
 
-1. Items become rows of (item, shingle, positions); documents become distinct
-   shingles, and a semi-join with the items' vocabulary leaves the few that
-   occur in any item. This pass reads every document once, whole.
+1. Items become rows of (item, shingle, positions), and all their shingles a
+   bitmap of bounded size. Documents are read once, whole; only shingles that
+   are in the bitmap leave the batch.
 2. Shingles are ordered by rarity, the number of documents that have them. An
    item of w words needs ceil(w/2) covered words, hence at least
-   need = ceil(ceil(w/2)/5) matching shingle positions, so one of its
-   (positions - need + 1) rarest ones must match: only these prefix shingles
-   are joined.
-3. Bounds and verification: the pairs found get all their matching shingles;
-   the length bound (at least ``need`` positions) goes first, then the exact
-   test that the words under matching positions are at least half.
+   need = ceil(ceil(w/2)/5) matching shingle positions. Of its
+   positions - need + m rarest ones m must match: only these prefix shingles
+   are joined, with m = MATCHES where need is as much.
+3. Bounds and verification: pairs with fewer than m matches among the prefix
+   positions drop out at once. The others get all their matching shingles; the
+   length bound (at least ``need`` positions) goes first, then the exact test
+   that the words under matching positions are at least half.
 """
 
 from __future__ import annotations
@@ -23,15 +24,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewrack.llm.bitmaps import in_bitmap, key_bitmap
 from tidewrack.llm.words import WordHash, shingles, words_of
-from tidewrack.session import staged, work_slots
+from tidewrack.session import spread, staged, work_slots
 
 WIDTH = 5
-#: Items' shingles are broadcast up to this many rows (16 bytes each); beyond, the join shuffles.
-BROADCAST_SHINGLES = 2_000_000
+#: Matches that a pair must have among the prefix positions, where it needs as many in all.
+MATCHES = 2
 # What is not part of a text.
 _TIME = r"(?:\d{1,3}:)?\d{1,2}:\d{2}(?:[.,]\d+)?"
 _SETTINGS = r"(?:[ \t]+(?:align|line|position|region|size|vertical):\S+)*"
@@ -61,21 +63,23 @@ def item_shingles(items: DataFrame) -> DataFrame:
     return items.filter(F.col("item_id").isNotNull()).select("item_id", "text").mapInPandas(run, "item_id bigint, n_words int, shingle bigint, pos int")
 
 
-def document_shingles(documents: DataFrame) -> DataFrame:
-    """doc_id, shingles: the distinct shingles of each document as one array."""
+def document_shingles(documents: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """doc_id, shingle: the distinct shingles of each document that may be in ``bitmap``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashed = WordHash()
         for b in batches:
-            ids, sets = [], []
+            ids, found = [], []
             for i, t in zip(b["doc_id"], b["text"]):
                 w = spoken_words(t)
                 if len(w) >= WIDTH:
+                    s = shingles(hashed(w), WIDTH)
                     ids.append(i)
-                    sets.append(np.unique(shingles(hashed(w), WIDTH)).view(np.int64))
-            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="int64"), "shingles": pd.Series(sets, dtype=object)})
+                    found.append(np.unique(s[in_bitmap(bitmap, s)]))
+            if ids:
+                yield pd.DataFrame({"doc_id": np.repeat(np.array(ids, np.int64), [len(s) for s in found]), "shingle": np.concatenate(found).view(np.int64)})
 
-    return documents.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInPandas(run, "doc_id bigint, shingles array<bigint>")
+    return documents.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInPandas(run, "doc_id bigint, shingle bigint")
 
 
 def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
@@ -87,22 +91,19 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     """
     spark = documents.sparkSession
     it = staged(item_shingles(items.repartition(max(1, min(16, work_slots(spark))))), "leak-items")
-    vocabulary = it.select("shingle").distinct()
-    n_voc = vocabulary.count()
-    found = document_shingles(documents.repartition(work_slots(spark))).select("doc_id", F.explode("shingles").alias("shingle"))
-    side = F.broadcast(vocabulary) if n_voc <= BROADCAST_SHINGLES else vocabulary
-    found = staged(found.join(side, "shingle", "left_semi").distinct(), "leak-found")
+    bitmap = key_bitmap(it, "shingle", it.count())
+    found = staged(document_shingles(spread(documents.select("doc_id", "text")), bitmap).distinct(), "leak-found")
     rarity = found.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
-    per_item = it.groupBy("item_id", "n_words", "shingle").agg(F.sort_array(F.collect_list("pos")).alias("at"))
-    # items are as many as positions at most; the order is within one item, and an item is one text
-    ranked = per_item.join(rarity, "shingle", "left").selectExpr("item_id", "n_words", "shingle", "at", "coalesce(df, 0) as df")
-    whole = ranked.groupBy("item_id", "n_words").agg(F.sort_array(F.collect_list(F.struct("df", "shingle", F.size("at").alias("k")))).alias("by_rarity"))
+    per_item = staged(it.groupBy("item_id", "n_words", "shingle").agg(F.sort_array(F.collect_list("pos")).alias("at")), "leak-positions")
     need = F.ceil(F.ceil(F.col("n_words") / 2) / WIDTH)
-    total = F.aggregate("by_rarity", F.lit(0), lambda a, x: a + x.k)
-    running = F.transform("by_rarity", lambda x, i: F.struct(x.shingle.alias("shingle"), x.df.alias("df"), F.aggregate(F.slice("by_rarity", 1, i), F.lit(0), lambda a, y: a + y.k).alias("before")))
-    prefix = whole.select("item_id", F.explode(F.filter(running, lambda x: x.before < total - need + 1)).alias("x")).select("item_id", "x.shingle", "x.df").filter("df > 0")
-    pairs = found.join(prefix.select("item_id", "shingle"), "shingle").select("doc_id", "item_id").distinct()
-    hits = pairs.join(per_item, "item_id").join(found, ["doc_id", "shingle"])
+    # windows are over one item, and an item is one text
+    ranked = per_item.select("item_id", "n_words", "shingle", F.size("at").alias("k")).join(rarity, "shingle", "left").fillna(0, ["df"])
+    w = Window.partitionBy("item_id", "n_words")
+    ranked = ranked.withColumn("total", F.sum("k").over(w)).withColumn("before", F.sum("k").over(w.orderBy("df", "shingle").rowsBetween(Window.unboundedPreceding, 0)) - F.col("k"))
+    least = F.least(F.lit(MATCHES), need)
+    prefix = ranked.filter(F.col("before") < F.col("total") - need + least).select("item_id", "n_words", "shingle", "k")
+    pairs = found.join(prefix, "shingle").groupBy("doc_id", "item_id", "n_words").agg(F.sum("k").alias("k")).filter(F.col("k") >= least).select("doc_id", "item_id", "n_words")
+    hits = pairs.join(per_item, ["item_id", "n_words"]).join(found, ["doc_id", "shingle"])
     hits = hits.groupBy("doc_id", "item_id", "n_words").agg(F.sort_array(F.flatten(F.collect_list("at"))).alias("at"))
     hits = hits.filter(F.size("at") >= need)
     # words covered: each matching position adds the words it does not share with the position before it
