@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tidewrack.llm.furniture import recurrent_lines, visible_lines, weak_labels
 from tidewrack.llm.words import WordHash, mix, words_of
-from tidewrack.session import work_slots
+from tidewrack.session import spread
 
 WORD_BITS, WORD_DIM = 12, 16
 PATH_BITS, PATH_DIM = 8, 4
@@ -266,7 +266,7 @@ def furniture_lines(sources: list[tuple[str, DataFrame, str, str]], max_pages: i
     for tbl, df, key, text in sources:
         x = df.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.lit(tbl).alias("tbl"), F.col(key).alias("rec_id"), F.col(text).alias("text"))
         pages = x if pages is None else pages.unionByName(x)
-    return pages.repartition(work_slots(spark)).mapInPandas(run, schema)
+    return spread(pages).mapInPandas(run, schema)
 
 
 def page_furniture(items: DataFrame, messages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:

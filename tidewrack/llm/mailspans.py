@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewrack.session import work_slots
+from tidewrack.session import spread
 
 AUTHORED, PREFIXED, HEADED, SIGNATURE, NOTICE, TRAILER = range(6)
 #: A trailer is a notice below a headed quotation.
@@ -284,7 +284,7 @@ def mail_lines(messages: DataFrame) -> DataFrame:
             yield pd.DataFrame({"delivery_id": pd.Series(ids, dtype="int64"), "line_no": pd.Series(nos, dtype="int32"), "kind": pd.Series(kinds, dtype=object)})
 
     x = messages.filter("delivery_id is not null and text_body is not null").select("delivery_id", "text_body")
-    return x.repartition(work_slots(messages.sparkSession, 4)).mapInPandas(run, "delivery_id bigint, line_no int, kind string")
+    return spread(x, 4).mapInPandas(run, "delivery_id bigint, line_no int, kind string")
 
 
 def unauthored_lines(messages: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewrack.session import staged, tokenizer_dir, work_slots
+from tidewrack.session import spread, staged, tokenizer_dir
 
 
 def token_counts(df: DataFrame, text: str, vocabulary: str | None = None) -> DataFrame:
@@ -85,9 +85,9 @@ def mix_sources(documents: DataFrame, targets: DataFrame, seed: int = 7, budget:
     goal = targets.filter("source is not null and target_share > 0 and max_repeats >= 1").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("cap"))
     all_shares = goal.agg(F.sum("share")).first()[0] or 1.0  # one number
     goal = goal.select("source", (F.col("share") / all_shares).alias("share"), "cap")
-    docs = documents.filter("source is not null and doc_id is not null").select("doc_id", "source", "text")
+    docs = spread(documents.filter("source is not null and doc_id is not null").select("doc_id", "source", "text"))
     docs = docs.join(goal, "source", "left_semi")
-    docs = token_counts(docs.repartition(work_slots(documents.sparkSession)), "text").select("doc_id", "source", "tokens").filter("tokens > 0")
+    docs = token_counts(docs, "text").select("doc_id", "source", "tokens").filter("tokens > 0")
     docs = staged(docs, "mix-tokens")
     size = docs.groupBy("source").agg(F.sum("tokens").alias("size"), F.max("tokens").alias("longest"))
     plan = goal.join(size, "source")

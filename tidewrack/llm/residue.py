@@ -32,9 +32,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewrack.llm.bitmaps import in_bitmap, key_bitmap
 from tidewrack.llm.furniture import is_furniture, visible_lines
 from tidewrack.llm.words import WORD, WordHash, mix, shingles
-from tidewrack.session import staged, work_slots
+from tidewrack.session import spread, staged
 
 SIMILARITY = 0.8
 SHINGLE = 5
@@ -43,8 +44,6 @@ BITS = 128
 RECALL = 0.93
 #: Bits in which a pair may differ: 19.4 +- 4.1 at similarity 0.8, 64 +- 6 without any.
 RADIUS = 30
-#: Bits of the bitmap of labelled keys at most, 16 MB.
-MAX_BITMAP = 1 << 27
 #: Keys of labelled nodes are broadcast up to this many (44 bytes each); beyond, the join sorts both sides.
 BROADCAST_KEYS = 500_000
 
@@ -241,25 +240,13 @@ def _keyed(nodes: DataFrame, masks: np.ndarray, bitmap: np.ndarray | None = None
                 if bitmap is None:
                     at, k = np.divmod(np.arange(keys.size), keys.shape[1])
                 else:
-                    place = keys.view(np.uint64) & np.uint64(len(bitmap) * 64 - 1)
-                    hit = (bitmap[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1)
-                    at, k = np.nonzero(hit)
+                    at, k = np.nonzero(in_bitmap(bitmap, keys.view(np.uint64)))
                 out = part.iloc[at]
                 yield pd.DataFrame({"key": keys[at, k], **{c: out[c].to_numpy() for c in ("k1", "k2", "s1", "s2", "n")}})
 
     return nodes.select("k1", "k2", "s1", "s2", "n").mapInPandas(run, "key bigint, k1 bigint, k2 bigint, s1 bigint, s2 bigint, n int")
 
 
-def _bitmap(keyed: DataFrame, n: int) -> np.ndarray:
-    """The ``n`` keys as a bitmap in words of 64 bits: at least 64 bits a key, but MAX_BITMAP at most."""
-    size = min(MAX_BITMAP, 1 << max(12, (64 * n).bit_length()))
-    place = keyed.select(F.col("key").bitwiseAND(F.lit(size - 1)).alias("p"))
-    words = place.groupBy(F.expr("shiftright(p, 6)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("b")).toPandas()
-    out = np.zeros(size // 64, np.uint64)
-    out[words["w"].to_numpy()] = words["b"].to_numpy().astype(np.int64).view(np.uint64)
-    return out
-
-
 def residue_rows(sources: list[tuple[str, DataFrame, str, str]], trusted: list[str] | None = None) -> DataFrame:
     """tbl, rec_id of rows whose whole content, site furniture aside, is residue.
 
@@ -274,28 +261,30 @@ def residue_rows(sources: list[tuple[str, DataFrame, str, str]], trusted: list[s
     for tbl, df, key, text in sources:
         x = df.filter(F.col(key).isNotNull() & (F.length(text) > 0)).select(F.lit(tbl).alias("tbl"), F.col(key).alias("rec_id"), F.col(text).alias("text"))
         texts = texts.unionByName(x)
-    rows = staged(_nodes(texts.repartition(work_slots(spark))), "residue-rows")
+    rows = staged(_nodes(spread(texts)), "residue-rows")
     # equal sets are one node; a hot one costs a row per map task
     first = F.min(F.struct("tbl", "rec_id"))
     node = rows.groupBy("k1", "k2").agg(F.max("trusted").alias("trusted"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("n").alias("n"), first.alias("rep"))
     node = staged(node.select("k1", "k2", "s1", "s2", "n", "trusted", "rep.tbl", "rep.rec_id"), "residue-nodes")
     # trusted texts are labelled; nodes with the set of one are found by the tables like all others
     known = staged(rows.filter("tbl is null").dropDuplicates(["k1", "k2"]).withColumn("trusted", F.lit(True)).select(*node.columns), "residue-trusted")
-    front, spread = known.unionByName(node.filter("trusted")), None
+    front, reached = known.unionByName(node.filter("trusted")), None
     masks = table_masks(*table_plan(front.count()))
     while True:
         rest = node.filter("not trusted")
-        if spread is not None:
-            rest = rest.join(spread.select("k1", "k2"), ["k1", "k2"], "left_anti")
+        if reached is not None:
+            rest = rest.join(reached.select("k1", "k2"), ["k1", "k2"], "left_anti")
         pairs = staged(_candidates(front, rest, masks), "residue-pairs")
+        if pairs.isEmpty():
+            break
         linked = _verified(pairs, node, texts)
         front = staged(rest.join(linked, ["k1", "k2"], "left_semi"), "residue-new")
         if front.isEmpty():
             break
-        spread = front if spread is None else spread.unionByName(front)
+        reached = front if reached is None else reached.unionByName(front)
     found = rows.filter("trusted")
-    if spread is not None:
-        found = found.unionByName(rows.filter("not trusted").join(spread.select("k1", "k2"), ["k1", "k2"], "left_semi"))
+    if reached is not None:
+        found = found.unionByName(rows.filter("not trusted").join(reached.select("k1", "k2"), ["k1", "k2"], "left_semi"))
     return found.filter("tbl is not null").select("tbl", "rec_id")
 
 
@@ -303,7 +292,7 @@ def _candidates(front: DataFrame, rest: DataFrame, masks: np.ndarray) -> DataFra
     """a1, a2 of the front and b1, b2 of the rest: pairs of a table with few unequal bits."""
     a = staged(_keyed(front, masks), "residue-keys")
     n = a.count()
-    b = _keyed(rest.repartition(work_slots(rest.sparkSession)), masks, _bitmap(a, n))
+    b = _keyed(rest, masks, key_bitmap(a, "key", n))
     a = a.selectExpr("key", "k1 as a1", "k2 as a2", "s1 as t1", "s2 as t2", "n as m")
     # the other side's size is not known from its scan, so the planner must not choose it
     x = b.join(F.broadcast(a) if n <= BROADCAST_KEYS else a.hint("merge"), "key")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidewrack.llm.leakage import MARKS
 from tidewrack.llm.words import WordHash, mix
-from tidewrack.session import work_slots
+from tidewrack.session import spread
 
 BITS = 16
 DUMMY = 1 << BITS
@@ -248,5 +248,5 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
             r, c = np.nonzero(hit)
             yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[r], "subject": np.array(m.subjects, dtype=object)[c]})
 
-    docs = documents.filter("doc_id is not null and text is not null").select("doc_id", "text").repartition(work_slots(spark))
+    docs = spread(documents.filter("doc_id is not null and text is not null").select("doc_id", "text"))
     return docs.mapInPandas(run, schema).distinct()

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewrack.llm.words import WordHash, mix, shingles, words_of
-from tidewrack.session import staged, work_slots
+from tidewrack.session import spread, staged
 
 SHINGLE = 3
 WIDTH = 4
@@ -90,7 +90,7 @@ def signatures(items: DataFrame, min_words: int) -> DataFrame:
             yield _signed(ids, sets)
 
     schema = "item_id bigint, same1 bigint, same2 bigint, n int, keys array<bigint>, s1 bigint, s2 bigint"
-    x = items.filter("item_id is not null and text is not null").select("item_id", "title", "text").repartition(work_slots(items.sparkSession, 4))
+    x = spread(items.filter("item_id is not null and text is not null").select("item_id", "title", "text"), 4)
     return x.mapInPandas(run, schema)
 
 
