@@ -102,23 +102,26 @@ def similar_classes(items: DataFrame, threshold: float = 0.5, min_words: int = 5
     """
     sig = staged(signatures(items, min_words), "variant-signatures")
     n_keys = sig.count() * SLOTS
-    # no side is broadcast: all of them grow with the data
+    # sides that grow with the data are merged, not broadcast
     first = sig.groupBy("same1", "same2").agg(F.min("item_id").alias("rep"))  # a hot class costs one row per map task
-    rep = staged(first, "variant-classes")
-    members = sig.select("same1", "same2", "item_id").hint("merge").join(rep, ["same1", "same2"]).groupBy("item_id").agg(F.min("rep").alias("rep"))
-    reps = staged(sig.drop("same1", "same2").hint("merge").join(rep.selectExpr("rep as item_id"), "item_id", "left_semi").dropDuplicates(["item_id"]), "variant-reps")
-    keyed = reps.select(F.explode("keys").alias("key"), F.col("item_id").alias("r"), "n").repartition(_parts(sig.sparkSession, n_keys), "key")
+    members = sig.select("same1", "same2", "item_id").hint("merge").join(first, ["same1", "same2"]).groupBy("item_id").agg(F.min("rep").alias("rep"))
+    members = staged(members, "variant-members")
+    # the other members are few where most records are no copies; the planner decides by their size at run time
+    reps = sig.select("item_id", "n", "keys").join(members.filter("item_id <> rep").select("item_id"), "item_id", "left_anti")
+    keyed = reps.select(F.explode("keys").alias("key"), F.col("item_id").alias("r"), "n").repartition(_parts(sig.sparkSession, n_keys), "key").dropDuplicates(["key", "r"])
     a, b = keyed.hint("merge").alias("a"), keyed.alias("b")
     alike = F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n")
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.r") < F.col("b.r")) & alike).select(F.col("a.r").alias("a"), F.col("b.r").alias("b")).distinct()
-    pairs = pairs.hint("merge").join(reps.selectExpr("item_id as a", "s1 as a1", "s2 as a2"), "a").hint("merge").join(reps.selectExpr("item_id as b", "s1 as b1", "s2 as b2"), "b")
+    sketch = sig.select("item_id", "s1", "s2").dropDuplicates(["item_id"])
+    pairs = pairs.hint("merge").join(sketch.selectExpr("item_id as a", "s1 as a1", "s2 as a2"), "a").hint("merge").join(sketch.selectExpr("item_id as b", "s1 as b1", "s2 as b2"), "b")
     pairs = staged(pairs.filter(F.expr("bit_count(a1 ^ b1) + bit_count(a2 ^ b2)") <= SKETCH_BITS).select("a", "b"), "variant-candidates")
     # whole sets only of records that have a candidate
     ids = pairs.select(F.col("a").alias("item_id")).unionByName(pairs.select(F.col("b").alias("item_id"))).distinct()
-    grams = staged(_sets(items.select("item_id", "title", "text").hint("merge").join(ids, "item_id", "left_semi")), "variant-sets")
+    texts = items.select("item_id", "title", "text").hint("merge").join(ids, "item_id", "left_semi").sortWithinPartitions("item_id")
+    grams = staged(_sets(texts), "variant-sets")
     pairs = pairs.hint("merge").join(grams.selectExpr("item_id as a", "grams as ga"), "a").hint("merge").join(grams.selectExpr("item_id as b", "grams as gb"), "b")
     both, na, nb = F.size(F.array_intersect("ga", "gb")), F.size("ga"), F.size("gb")
-    links = pairs.filter(both >= threshold * (na + nb - both)).selectExpr("a as rep_a", "b as rep_b")
+    links = pairs.filter(both >= threshold * (na + nb - both)).selectExpr("a as rep_a", "b as rep_b").distinct()
     return members, links
 
 
@@ -128,15 +131,20 @@ def _parts(spark, rows: int) -> int:
 
 
 def _sets(items: DataFrame) -> DataFrame:
-    """item_id, grams: the set of word sequences of each record."""
+    """item_id, grams: the set of word sequences of each record; ``items`` come in order of item_id."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashed = WordHash()
+        hashed, before = WordHash(), None
         for b in batches:
-            grams = [np.unique(shingles(hashed(words_of(title) + words_of(text)), SHINGLE)).view(np.int64) for title, text in zip(b["title"], b["text"])]
-            yield pd.DataFrame({"item_id": b["item_id"], "grams": pd.Series(grams, dtype=object, index=b.index)})
+            ids, grams = [], []
+            for i, title, text in zip(b["item_id"], b["title"], b["text"]):
+                if i != before:  # of rows that repeat an id one counts
+                    ids.append(i)
+                    grams.append(np.unique(shingles(hashed(words_of(title) + words_of(text)), SHINGLE)).view(np.int64))
+                before = i
+            yield pd.DataFrame({"item_id": pd.Series(ids, dtype="int64"), "grams": pd.Series(grams, dtype=object)})
 
-    return items.select("item_id", "title", "text").mapInPandas(run, "item_id bigint, grams array<bigint>").dropDuplicates(["item_id"])
+    return items.mapInPandas(run, "item_id bigint, grams array<bigint>")
 
 
 def similar_pairs(items: DataFrame, threshold: float = 0.5, min_words: int = 50) -> DataFrame:
@@ -148,7 +156,7 @@ def similar_pairs(items: DataFrame, threshold: float = 0.5, min_words: int = 50)
     no pair with itself. Columns other than item_id, title and text are not read.
     """
     members, links = similar_classes(items, threshold, min_words)
-    members, links = staged(members, "variant-members"), staged(links, "variant-links")
+    links = staged(links, "variant-links")
     size = members.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n"))
     size = staged(size, "variant-sizes")
     block = F.pmod(F.xxhash64("item_id"), F.col("blocks")).cast("int").alias("block")
