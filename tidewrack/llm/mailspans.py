@@ -34,8 +34,10 @@ from tidewrack.session import spread
 AUTHORED, PREFIXED, HEADED, SIGNATURE, NOTICE, TRAILER = range(6)
 #: A trailer is a notice below a headed quotation.
 KINDS = ["authored", "quoted", "quoted", "signature", "notice", "notice"]
-#: Longest span scored at once; a longer one continues in a further span of the same kind, a headed quotation at no cost.
-MAX_SPAN = 200
+#: Lines of a span of a kind that cost nothing, and what each further one costs: signatures are short, notices not long.
+FREE_LINES = {SIGNATURE: (7, 0.35), NOTICE: (9, 0.25), TRAILER: (9, 0.25)}
+#: What a prefixed quotation without any prefix costs, as one attribution.
+NO_PREFIX = 3.0
 
 # Wording in English, German, French and Spanish.
 _PREFIX = re.compile(r"^\s{0,3}(?:[>|:]\s?)+(?=\s|\S|$)")
@@ -143,13 +145,69 @@ _FOLLOW = np.array(
 _RELEASE = np.array([0.0, -0.2, -0.2, -0.2, -0.2, 0.0])
 
 
+def _best_spans(e: np.ndarray, start: np.ndarray, prefixed: np.ndarray, ended: np.ndarray) -> tuple[list[list[int]], list[list[int]], int]:
+    """For every line end and kind the start of the best span and the kind before it, and the kind that ends the text.
+
+    ``e`` are the weights of the lines (from row 1), ``start`` those of a span
+    that starts at a line. Every span is scored whole, whatever its length, in
+    a time that is linear in the lines: the best start of a span follows from
+    running maxima of what each start is worth, one over all starts, or one
+    over those far enough back to pay for length and one by one over the rest.
+    """
+    n = len(start)
+    total = np.cumsum(e, axis=0)
+    first, came = [[-1] * 6 for _ in range(n + 1)], [[-1] * 6 for _ in range(n + 1)]
+    lead, lead_from = np.zeros(6), [0] * 6  # best of the spans that may come before
+    lead[TRAILER] = _NEVER
+    none = (-1e18, -1)
+    top = {AUTHORED: none, HEADED: none, PREFIXED: none}  # best worth and start; of prefixed quotations, those with a prefix
+    bare = none  # starts below the last prefix
+    far = dict.fromkeys(FREE_LINES, none)
+    worth: list[list[float]] = []
+    before: list[list[int]] = []
+    for j in range(1, n + 1):
+        i = j - 1
+        g = (lead + start[i] - total[i]).tolist()
+        worth.append(g)
+        before.append(lead_from)
+        for c in (AUTHORED, HEADED):
+            if g[c] > top[c][0]:
+                top[c] = (g[c], i)
+        if g[PREFIXED] > bare[0]:
+            bare = (g[PREFIXED], i)
+        if prefixed[j]:
+            top[PREFIXED], bare = max(top[PREFIXED], bare, key=lambda x: x[0]), none
+        best = [0.0] * 6
+        best[AUTHORED], first[j][AUTHORED] = top[AUTHORED]
+        best[HEADED], first[j][HEADED] = top[HEADED]
+        with_prefix, without = top[PREFIXED], (bare[0] - NO_PREFIX, bare[1])
+        best[PREFIXED], first[j][PREFIXED] = with_prefix if with_prefix[0] >= without[0] else without
+        for c, (free, price) in FREE_LINES.items():
+            m = j - free - 1  # the latest start that pays
+            if m >= 0 and (x := worth[m][c] + price * m) > far[c][0]:
+                far[c] = (x, m)
+            at = (far[c][0] - price * (j - free), far[c][1])
+            for k in range(max(0, m + 1), j):
+                if worth[k][c] > at[0]:
+                    at = (worth[k][c], k)
+            best[c], first[j][c] = at
+        came[j] = [before[first[j][c]][c] for c in range(6)]
+        scores = np.array(best) + total[j]
+        step = scores[:, None] + _FOLLOW
+        if ended[j]:
+            step[HEADED] = scores[HEADED] + _RELEASE
+        at = step.argmax(axis=0)
+        lead, lead_from = step[at, _EACH], at.tolist()
+    return first, came, int(scores.argmax())
+
+
 def decode(text: str) -> list[str]:
     """The kind of each line of ``text`` split at line feeds: authored, quoted, signature or notice. Blank lines take their span's kind."""
     lines = text.split("\n")
     n = len(lines)
     e = np.zeros((n + 1, 6))
     start = np.tile(_START_WITHOUT_CUE, (n, 1))
-    prefixed, attributed, plain, ended = np.zeros(n + 1), np.zeros(n, bool), np.zeros(n + 1), np.zeros(n + 1, bool)
+    prefixed, ended = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
     heads = [bool(_HEAD.match(s)) and len(s) < 200 for s in lines]
     k = 0
     while k < n:
@@ -165,7 +223,7 @@ def decode(text: str) -> list[str]:
             continue
         if _QUOTED.match(s):
             e[k + 1] = _W_PREFIX
-            prefixed[k + 1] = 1
+            prefixed[k + 1] = True
             start[k, PREFIXED] = 1.0
             k += 1
             continue
@@ -173,11 +231,9 @@ def decode(text: str) -> list[str]:
         if told:
             for i in range(k, k + m):
                 e[i + 1] = _W_ATTRIBUTION
-                attributed[i] = True
             start[k, PREFIXED] = 2.0
             k += m
             continue
-        plain[k + 1] = 1
         if _FORWARD.match(s):
             e[k + 1] = _W_LINE_HEAD
             start[k, HEADED] = 6.0
@@ -229,43 +285,13 @@ def decode(text: str) -> list[str]:
         k += 1
     start[0, AUTHORED] = 0.0
     e[1:][ended[:-1], HEADED] -= 4.0  # below the end of a forward
-    total = np.cumsum(e, axis=0)
-    pre, pln = np.cumsum(prefixed), np.cumsum(plain)
-    best = np.full((n + 1, 6), -1e9)
-    best[0, AUTHORED] = 0.0
-    first = np.full((n + 1, 6), -1)
-    came = np.full((n + 1, 6), -1)
-    lead = np.full((n + 1, 6), -1e9)  # best of the spans that may come before
-    lead[0] = 0.0
-    lead[0, TRAILER] = _NEVER
-    lead_from = np.zeros((n + 1, 6), int)
-    for j in range(1, n + 1):
-        lo = max(0, j - MAX_SPAN)
-        length = j - np.arange(lo, j)
-        s = lead[lo:j] + start[lo:j] + (total[j] - total[lo:j])
-        # length: signatures are short, notices not long; whole span: a prefixed quotation has prefixes or one attribution
-        s[:, SIGNATURE] -= 0.35 * np.maximum(0, length - 7)
-        s[:, [NOTICE, TRAILER]] -= 0.25 * np.maximum(0, length - 9)[:, None]
-        p = pre[j] - pre[lo:j]
-        s[:, PREFIXED] -= np.where(p > 0, 0.0, 3.0)
-        i = s.argmax(axis=0)
-        best[j] = s[i, _EACH]
-        first[j] = i + lo
-        came[j] = lead_from[first[j], _EACH]
-        # a headed quotation has no whole-span term: one line more is the same span
-        if best[j - 1, HEADED] + e[j, HEADED] > best[j, HEADED]:
-            best[j, HEADED], first[j, HEADED], came[j, HEADED] = best[j - 1, HEADED] + e[j, HEADED], j - 1, HEADED
-        step = best[j][:, None] + _FOLLOW
-        if ended[j]:
-            step[HEADED] = best[j, HEADED] + _RELEASE
-        lead_from[j] = step.argmax(axis=0)
-        lead[j] = step[lead_from[j], _EACH]
-    out, j, c = [""] * n, n, int(best[n].argmax())
+    first, came, end = _best_spans(e, start, prefixed, ended)
+    out, j, c = [""] * n, n, end
     while j > 0:
-        i = first[j, c]
+        i = first[j][c]
         for k in range(i, j):
             out[k] = KINDS[c]
-        j, c = i, came[j, c]
+        j, c = i, came[j][c]
     return out
 
 
