@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewrack.functions.dates import parse_written_date
@@ -53,25 +53,36 @@ def sitemap_urls(pages: DataFrame, xml: str = "xml") -> DataFrame:
 
 
 def robots_rules(files: DataFrame, host: str = "host", text: str = "text", agent: str = "*") -> DataFrame:
-    """host, allow, prefix: rules of the group for ``agent``. An empty Disallow allows all and makes no rule."""
-    line = files.select(host, F.posexplode(F.split(F.regexp_replace(text, r"[ \t]*#[^\n]*", ""), r"\r?\n")).alias("pos", "l"))
-    x = line.select(host, "pos", F.lower(F.trim(F.substring_index("l", ":", 1))).alias("k"), F.trim(F.regexp_extract("l", r"^[^:]*:(.*)$", 1)).alias("v"))
-    from pyspark.sql import Window
+    """host, rules: the rules (allow, prefix) of a robots file for ``agent``, or for all where it names the agent nowhere.
 
-    w = Window.partitionBy(host).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)  # a robots file is one bounded text
-    x = x.withColumn("who", F.last(F.when(F.col("k") == "user-agent", F.lower("v")), ignorenulls=True).over(w))
-    return x.filter((F.col("who") == agent.lower()) & F.col("k").isin("allow", "disallow") & (F.col("v") != "")).select(host, (F.col("k") == "allow").alias("allow"), F.col("v").alias("prefix"))
+    A group is a run of agent lines and the rules below it; several agents may
+    share one. An empty Disallow allows all and makes no rule.
+    """
+    lines = F.transform(F.split(F.regexp_replace(text, r"[ \t]*#[^\n]*", ""), r"\r?\n|\r"), lambda l: F.struct(F.lower(F.trim(F.substring_index(l, ":", 1))).alias("k"), F.trim(F.regexp_extract(l, r"^[^:]*:(.*)$", 1)).alias("v")))
+    known = F.filter(lines, lambda x: x.k.isin("user-agent", "allow", "disallow"))
+    # an agent line below a rule opens a new group
+    mark = lambda x, i: F.when((x.k == "user-agent") & (i > 0) & (F.col("l")[F.greatest(i - 1, F.lit(0))].k != "user-agent"), 1).otherwise(0)
+    x = files.select(host, F.explode(F.array(known)).alias("l"))
+    x = x.withColumn("g", F.transform("l", lambda y, i: F.struct(y.k.alias("k"), y.v.alias("v"), mark(y, i).alias("m"))))
+    x = x.select(host, F.posexplode("g").alias("pos", "y"))
+    w = Window.partitionBy(host).orderBy("pos")  # a robots file is one bounded text
+    x = x.select(host, "y.k", "y.v", F.sum("y.m").over(w).alias("group"))
+    rule = F.when(F.col("k").isin("allow", "disallow") & (F.col("v") != ""), F.struct((F.col("k") == "allow").alias("allow"), F.col("v").alias("prefix")))
+    groups = x.groupBy(host, "group").agg(F.collect_set(F.when(F.col("k") == "user-agent", F.lower("v"))).alias("agents"), F.collect_list(rule).alias("rules"))
+    groups = groups.select(host, F.explode("agents").alias("who"), "rules").filter(F.col("who").isin(agent.lower(), "*"))
+    named = groups.groupBy(host).agg(F.flatten(F.collect_list(F.when(F.col("who") == agent.lower(), F.col("rules")))).alias("own"), F.flatten(F.collect_list(F.when(F.col("who") == "*", F.col("rules")))).alias("all"), F.bool_or(F.col("who") == agent.lower()).alias("has"))
+    return named.select(host, F.when(F.col("has"), F.col("own")).otherwise(F.col("all")).alias("rules"))
 
 
 def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """url, allowed: the longest matching prefix decides, allow wins a tie, no rule allows.
+    """``urls`` with ``allowed``: the longest matching prefix decides, allow wins a tie, no rule allows.
 
-    Paths are exploded to their prefixes and equi-joined, not compared with
-    every rule.
+    Rules are one array a host, joined once; each row is decided by itself, so
+    repeated addresses stay repeated.
     """
-    path = F.regexp_extract("url", r"^[a-z]+://[^/?#]*([^#]*)", 1)
-    host = F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1)
+    path = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)", 1)
     p = F.when(path == "", "/").otherwise(path)
-    x = urls.select("url", host.alias("host"), p.alias("p")).withColumn("prefix", F.explode(F.transform(F.sequence(F.lit(1), F.length("p")), lambda n: F.substring("p", F.lit(1), n))))
-    best = x.join(rules, ["host", "prefix"], "left").groupBy("url").agg(F.max(F.when(F.col("allow").isNotNull(), F.struct(F.length("prefix").alias("n"), "allow"))).alias("b"))
-    return best.select("url", F.coalesce("b.allow", F.lit(True)).alias("allowed"))
+    host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    x = urls.withColumns({"__host": host, "__path": p}).join(rules.select(F.col("host").alias("__host"), F.col("rules").alias("__rules")), "__host", "left")
+    hits = F.transform(F.filter("__rules", lambda r: F.col("__path").startswith(r.prefix)), lambda r: F.struct(F.length(r.prefix).alias("n"), r.allow.alias("allow")))
+    return x.withColumn("allowed", F.coalesce(F.array_max(hits)["allow"], F.lit(True))).select(*urls.columns, "allowed")

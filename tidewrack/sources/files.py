@@ -38,7 +38,12 @@ MAIL = "message_id string, subject string, sender string, date string, html_body
 
 
 def mail_files(spark: SparkSession, path: str) -> DataFrame:
-    """Messages of files in the mail format: first HTML and first plain part, four headers kept."""
+    """Messages of files in the mail format."""
+    return parsed_mail(spark.read.format("binaryFile").load(path), "content")
+
+
+def parsed_mail(files: DataFrame, raw: str) -> DataFrame:
+    """Messages of mail in a binary column: first HTML and first plain part, four headers kept."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from email import policy
@@ -46,8 +51,8 @@ def mail_files(spark: SparkSession, path: str) -> DataFrame:
 
         for b in batches:
             rows = []
-            for raw in b["content"]:
-                m = BytesParser(policy=policy.default).parsebytes(bytes(raw))
+            for mail in b[raw]:
+                m = BytesParser(policy=policy.default).parsebytes(bytes(mail))
                 parts = {"text/html": None, "text/plain": None}
                 for p in m.walk():
                     kind = p.get_content_type()
@@ -57,7 +62,7 @@ def mail_files(spark: SparkSession, path: str) -> DataFrame:
                         except (LookupError, ValueError):
                             parts[kind] = bytes(p.get_payload(decode=True) or b"").decode("utf-8", "replace")
                 kept = {k: str(m[k]) for k in ("From", "In-Reply-To", "List-Unsubscribe", "X-Origin-Zone") if m[k]}
-                rows.append((m["Message-ID"], m["Subject"], m["From"], m["Date"], parts["text/html"], parts["text/plain"], kept, len(raw)))
+                rows.append((m["Message-ID"], m["Subject"], m["From"], m["Date"], parts["text/html"], parts["text/plain"], kept, len(mail)))
             yield pd.DataFrame([[None if v is None else str(v) if k < 6 else v for k, v in enumerate(r)] for r in rows], columns=[c.split()[0] for c in MAIL.replace("map<string,string>", "m").split(", ")])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, MAIL)
+    return files.select(raw).mapInPandas(run, MAIL)
