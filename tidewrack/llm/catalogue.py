@@ -9,7 +9,7 @@ from tidewrack.llm.blocks import page_furniture
 from tidewrack.llm.history import seen_pages
 from tidewrack.llm.leakage import leaked_items
 from tidewrack.llm.mailspans import unauthored_lines
-from tidewrack.llm.mixing import mix_sources, reached_shares
+from tidewrack.llm.mixing import mix_sources, reached_shares, share_bounds
 from tidewrack.llm.residue import residue_of
 from tidewrack.llm.subjects import document_subjects
 from tidewrack.llm.variants import similar_pairs
@@ -49,6 +49,11 @@ def p9_shares(spark: SparkSession, data_dir: str) -> DataFrame:
     return reached_shares(mix_sources(docs, targets), docs, targets)
 
 
+def p9_bounds(spark: SparkSession, data_dir: str) -> DataFrame:
+    docs, targets = table(spark, data_dir, "documents"), table(spark, data_dir, "mix_targets")
+    return share_bounds(mix_sources(docs, targets), docs, targets)
+
+
 def p10_found(spark: SparkSession, data_dir: str) -> DataFrame:
     return document_subjects(*(table(spark, data_dir, t) for t in ("documents", "doc_labels", "subjects")))
 
@@ -62,7 +67,8 @@ QUERIES = {
     "p8_found": p8_found,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
+    "p9_bounds": p9_bounds,
     "p10_found": p10_found,
 }
 
-ORACLE = {"p4_found": oracle.P4, "p5_found": oracle.P5, "p8_found": oracle.P8}
+ORACLE = {"p4_found": oracle.P4, "p5_found": oracle.P5, "p8_found": oracle.P8, "p9_bounds": "SELECT source, TRUE AS within_cap, TRUE AS on_target FROM mix_targets"}

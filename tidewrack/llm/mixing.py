@@ -128,3 +128,19 @@ def reached_shares(mixture: DataFrame, documents: DataFrame, targets: DataFrame)
     x = targets.filter("source is not null").join(s, "source", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     return x.select("source", "target_share", "max_repeats", zero("docs_used"), zero("uses"), zero("tokens"), zero("most_uses"), F.round(F.coalesce("tokens", F.lit(0)) / F.lit(all_tokens), 6).alias("actual_share"))
+
+
+def share_bounds(mixture: DataFrame, documents: DataFrame, targets: DataFrame) -> DataFrame:
+    """source, within_cap, on_target: whether a mixture keeps its promises, from its rows and a count of its own.
+
+    A source is on target if its tokens differ from its share of all by no more
+    than its longest document, and its part of the longest ones of all, can
+    bring about.
+    """
+    longest = token_counts(documents.filter("source is not null and doc_id is not null").select("source", "text"), "text").groupBy("source").agg(F.max("tokens").alias("longest"))
+    x = targets.filter("source is not null").join(longest, "source", "left").fillna(0, ["longest"])
+    used = mixture.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t")).groupBy("source").agg(F.max("n").alias("most"), F.sum("t").alias("t"))
+    x = staged(x.join(used, "source", "left").fillna(0, ["most", "t"]), "mix-bounds")  # one row per source
+    whole = x.agg(F.sum("t"), F.sum("longest")).first()
+    gap = F.abs(F.col("t") - F.col("target_share") * F.lit(whole[0] or 0))
+    return x.select("source", (F.col("most") <= F.col("max_repeats")).alias("within_cap"), (gap <= F.col("longest") + F.col("target_share") * F.lit(whole[1] or 0)).alias("on_target"))
