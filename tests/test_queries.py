@@ -30,14 +30,18 @@ def con():
     return c
 
 
-CORE = {k: v for k, v in entry.oracle_sql().items() if k in entry.queries()}
+CORE = {**entry.registry.ORACLE, **entry.problems.ORACLE}
 
 
 @pytest.mark.parametrize("name", sorted(CORE))
 def test_query(spark, con, name):
+    compare(spark, con, name, CORE)
+
+
+def compare(spark, con, name, sql):
     df = entry.queries()[name](spark, DATA)
     cols = sorted(df.columns)
-    r = con.execute(CORE[name])
+    r = con.execute(sql[name])
     names = [x[0] for x in r.description]
     assert sorted(names) == cols
     want = sorted([norm(row[names.index(c)]) for c in cols] for row in r.fetchall())

@@ -1,3 +1,5 @@
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,3 +80,18 @@ def test_streams_equal_batch(spark, tmp_path):
 @pytest.mark.parametrize("text,want", [("---\ntitle: A: b\nx: 1\n---\nt", '---\ntitle: "A: b"\nx: 1\n---\nt'), ('---\ntitle: "ok"\n---\n', '---\ntitle: "ok"\n---\n'), ("no header\ntitle: x", "no header\ntitle: x")])
 def test_repair(spark, text, want):
     assert spark.createDataFrame([(text,)], "x string").select(t.repair_header(F.col("x"))).first()[0] == want
+
+
+def test_streams_go_on_where_they_stopped(spark, tmp_path):
+    """New files in the folder, the same output and checkpoint: the results are those of all files."""
+    src, schema = f"{tmp_path}/in", "user_id int, ts timestamp_ntz, event_type string"
+    at = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(hours=n)
+    first = [(1, at(0), "error"), (1, at(1), "error"), (2, at(0), "error"), (2, at(0), "click"), (3, at(5), "view")]
+    second = [(1, at(30), "error"), (2, at(31), "error"), (4, at(32), "error"), (4, at(33), "click"), (4, at(34), "error")]
+    for k, rows in enumerate((first, second)):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = lambda: spark.readStream.schema(schema).parquet(src)
+        streaks = st.streak_stream(stream(), "user_id", "ts", "event_type", "error", "click", f"{tmp_path}/s", f"{tmp_path}/sc")
+        counts = st.windowed_counts(stream(), "ts", "event_type", out=f"{tmp_path}/w", checkpoint=f"{tmp_path}/wc")
+    assert {(r.user_id, r.streak) for r in streaks.collect()} == {(1, 3), (2, 1), (3, 0), (4, 1)}
+    assert {(r.start.day, r.event_type, r.n) for r in counts.collect()} == {(1, "error", 3), (1, "click", 1), (1, "view", 1), (2, "error", 4), (2, "click", 1)}

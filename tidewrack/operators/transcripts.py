@@ -16,7 +16,7 @@ def cues(text: Column) -> Column:
     # every time line, number line and blank line opens a block
     marked = F.regexp_replace(F.regexp_replace(text, r"\r", ""), r"(?m)^[ \t]*(?:\d+[ \t]*)?$|(?m)^(?=[ \t]*\d{1,2}:\d{2}:\d{2}[.,]\d{3}[ \t]*-->)", "\u0001")
     blocks = F.filter(F.split(marked, "\u0001"), lambda b: b.rlike(r"^\s*\d{1,2}:\d{2}:\d{2}[.,]\d{3}[ \t]*-->"))
-    words = lambda b: F.filter(F.transform(F.slice(F.split(F.regexp_replace(b, r"^\s+", ""), "\n"), 2, 100_000), lambda s: F.trim(s)), lambda s: (s != "") & ~s.rlike(r"^(?:WEBVTT$|Kind:|Language:|NOTE)"))
+    words = lambda b: F.filter(F.transform(F.filter(F.split(F.regexp_replace(b, r"^\s+", ""), "\n"), lambda s, i: i > 0), lambda s: F.trim(s)), lambda s: (s != "") & ~s.rlike(r"^(?:WEBVTT$|Kind:|Language:|NOTE)"))
     said = F.transform(blocks, lambda b: F.struct(F.concat(F.lit("["), F.lpad(F.regexp_extract(b, _TIME, 1), 8, "0"), F.lit("]")).alias("at"), F.trim(F.regexp_replace(F.array_join(words(b), " "), r"<[^>]+>", "")).alias("text")))
     return F.filter(said, lambda c: c.text != "")
 

@@ -21,7 +21,7 @@ def article_extract(spark, d):
 
 @query("stream_dedupe", "SELECT DISTINCT event_id, user_id, event_type FROM events")
 def stream_dedupe(spark, d):
-    return st.dedupe_stream(st.file_stream(spark, d, "events").select("event_id", "user_id", "event_type", "ts"), "event_id", "ts", "3650 days").select("event_id", "user_id", "event_type")
+    return st.dedupe_stream(st.file_stream(spark, d, "events").select("event_id", "user_id", "event_type", "ts"), "event_id", "ts", "31 days").select("event_id", "user_id", "event_type")
 
 
 @query("stream_failure_streak", _STREAK)

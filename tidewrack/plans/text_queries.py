@@ -150,6 +150,12 @@ def search_title_fallback(spark, d):
     return store.search(table(spark, d, "documents"), "Lighthouse of", tags="source")
 
 
+# a word of many titles: where no line has it, the title counts
+@query("search_title_hits", _sql_search("notes on a"))
+def search_title_hits(spark, d):
+    return store.search(table(spark, d, "documents"), "Notes on a", tags="source")
+
+
 @query("search_tag_fallback", _sql_search("rare-ess"))
 def search_tag_fallback(spark, d):
     return store.search(table(spark, d, "documents"), "rare-ess", tags="source")
