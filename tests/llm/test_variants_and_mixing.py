@@ -98,3 +98,19 @@ def test_budget_is_spent_when_large_shares_are_used_up(spark):
             want.add((r.doc_id, r.pass_no))
         rows = mix_sources(docs, targets, budget=budget, slices=8).collect()
         assert {(r.doc_id, r.pass_no) for r in rows} == want and len(rows) == len(want), budget
+
+
+def test_cut_is_found_level_by_level(spark, monkeypatch):
+    """The same documents, whether the part of time that passes the budget is ordered as a whole or cut again and again."""
+    from tidewrack.llm import mixing
+
+    docs = _docs(spark, [700, 300, 80])
+    targets = spark.createDataFrame([("s0", 0.6, 1), ("s1", 0.3, 1), ("s2", 0.1, 2)], "source string, target_share double, max_repeats int")
+    got = []
+    for ticks, edge in ((4096, 20_000), (3, 1), (4, 50)):
+        monkeypatch.setattr(mixing, "TICKS", ticks)
+        monkeypatch.setattr(mixing, "EDGE", edge)
+        rows = mix_sources(docs, targets, budget=2500).collect()
+        assert 2500 - 12 < sum(r.tokens for r in rows) <= 2500
+        got.append({(r.doc_id, r.pass_no) for r in rows})
+    assert got[0] == got[1] == got[2]

@@ -14,6 +14,7 @@ order) first, then a running sum within a slice. No task holds a source.
 from __future__ import annotations
 
 import base64
+import math
 import os
 from collections.abc import Iterator
 
@@ -24,6 +25,10 @@ from pyspark.sql import functions as F
 from tidewrack.session import spread, staged, tokenizer_dir
 
 
+#: Parts of time whose tokens are summed at once, documents ordered in one task, documents of a slice on average.
+TICKS, EDGE, SLICE = 4096, 20_000, 20_000
+
+
 def token_counts(df: DataFrame, text: str, vocabulary: str | None = None) -> DataFrame:
     """``df`` with ``tokens`` INT, the number of byte-level BPE tokens of ``text``; 0 for null and empty.
 
@@ -68,7 +73,7 @@ def _clock(plan: list[tuple[int, int, float, int]], limit: int) -> float:
     return ends[-1][0] if ends else 0.0
 
 
-def mix_sources(documents: DataFrame, targets: DataFrame, seed: int = 7, budget: int | None = None, slices: int = 256) -> DataFrame:
+def mix_sources(documents: DataFrame, targets: DataFrame, seed: int = 7, budget: int | None = None, slices: int | None = None) -> DataFrame:
     """The mixture: doc_id, source, pass_no, tokens, finish; ordered by range on (finish, source, doc_id).
 
     ``targets`` has source, target_share, max_repeats (times a document may be
@@ -94,6 +99,7 @@ def mix_sources(documents: DataFrame, targets: DataFrame, seed: int = 7, budget:
     # one number: the total that every source can serve
     limit = plan.agg(F.floor(F.min(F.col("size") * F.col("cap") / F.col("share"))).cast("bigint")).first()[0] if budget is None else budget
     limit = int(limit or 0)
+    slices = slices or max(16, -(-docs.count() // SLICE))
     used = docs.join(plan.drop("size", "longest"), "source").withColumn("pass_no", F.explode(F.sequence(F.lit(1), F.col("cap").cast("int"))))
     used = used.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "pass_no")).withColumn("slice", _slices(F.col("h"), slices))
     # running tokens: whole passes before, whole slices before, then documents before within the slice
@@ -105,20 +111,35 @@ def mix_sources(documents: DataFrame, targets: DataFrame, seed: int = 7, budget:
     used = used.withColumn("finish", (F.col("before") + F.col("here")) / F.col("share")).select("doc_id", "source", "pass_no", "tokens", "finish")
     # one row per source
     last_time = _clock([tuple(r) for r in plan.select("size", F.col("cap").cast("bigint"), "share", "longest").collect()], limit) * (1 + 1e-9)
-    width = max(last_time, 1.0) / 4096
-    used = staged(used.filter(F.col("finish") <= last_time + 1).withColumn("tick", F.floor(F.col("finish") / width).cast("bigint")), "mix-finish")
-    ticks = used.groupBy("tick").agg(F.sum("tokens").alias("t"))  # at most about 4,100 rows, or one per unit of time
-    run = ticks.withColumn("upto", F.sum("t").over(Window.orderBy("tick")))
-    full = run.filter(F.col("upto") <= limit).agg(F.max("tick").alias("tick"), F.max("upto").alias("upto")).first()
-    last, spent = (full.tick, full.upto) if full.tick is not None else (-1, 0)
-    edge = run.filter(F.col("tick") > last).agg(F.min("tick")).first()[0]
-    edge = -1 if edge is None else edge
-    # only the tick that crosses the budget is ordered by itself: 1/4096 of the time
-    at = used.filter(F.col("tick") == edge).withColumn("upto", F.sum("tokens").over(Window.orderBy("finish", "source", "doc_id", "pass_no")) + F.lit(spent)).filter(F.col("upto") <= limit)
-    chosen = used.filter(F.col("tick") <= last).unionByName(at.drop("upto")).drop("tick")
+    used = staged(used.filter(F.col("finish") <= last_time + 1), "mix-finish")
+    low, high, spent = _crossing(used, 0.0, last_time + 1, limit)
+    # only the documents between the two times are ordered by themselves, EDGE of them or fewer
+    at = used.filter(F.col("finish").between(low, high)).withColumn("upto", F.sum("tokens").over(Window.orderBy("finish", "source", "doc_id", "pass_no")) + F.lit(spent)).filter(F.col("upto") <= limit)
+    chosen = used.filter(F.col("finish") < low).unionByName(at.drop("upto"))
     return chosen.repartitionByRange("finish", "source", "doc_id").sortWithinPartitions("finish", "source", "doc_id", "pass_no")
 
 
+def _crossing(used: DataFrame, low: float, high: float, limit: int) -> tuple[float, float, int]:
+    """Two finish times between which the running tokens pass ``limit``, and the tokens before the first.
+
+    The time is cut into TICKS parts, and the part that passes the limit into
+    as many again, until it has no more than EDGE documents or one finish time.
+    """
+    spent = 0
+    while True:
+        tick = F.floor((F.col("finish") - F.lit(low)) / F.lit(max(high - low, 1e-300) / TICKS))
+        x = used.filter(F.col("finish").between(low, high)).groupBy(tick.alias("tick")).agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"), F.min("finish").alias("low"), F.max("finish").alias("high"))
+        for r in sorted(x.collect(), key=lambda r: r.tick):  # TICKS + 1 rows at most
+            if spent + r.t > limit:
+                break
+            spent += r.t
+        else:
+            return math.nextafter(high, math.inf), math.inf, spent
+        if r.n <= EDGE or r.low == r.high:
+            return r.low, r.high, spent
+        low, high = r.low, r.high
+
+
 def reached_shares(mixture: DataFrame, documents: DataFrame, targets: DataFrame) -> DataFrame:
     """source, target_share, max_repeats, docs_used, uses, tokens, actual_share, most_uses: one row per target source."""
     per_doc = mixture.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t"))
