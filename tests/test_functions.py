@@ -85,3 +85,15 @@ def test_extract_nulls(spark):
     df = spark.createDataFrame([(None, "u"), ("", None), (PAGE, "https://site.example/")], "h string, u string")
     got = h.extract(df, "h", "u").collect()
     assert [r.page.title if r.page else None for r in got] == [None, "Untitled", "Piece"]
+
+
+def test_main_content_is_scored():
+    from tidewrack.functions.html import main_of, parse, scored_main
+
+    para = "The harbour was quiet, the boats were in, and nobody on the quay had anything to say about the weather."
+    page = f"<body><div class='nav-menu'><ul>{'<li><a href=x>A rather long link to another page of this site</a></li>' * 9}</ul></div><div class='wrap'><div id='story'><p>{para}</p><p>{para}</p><p>{para}</p></div><div class='comments'><p>{para}</p></div></div><div class='footer'><p>All about this site, its makers, its rights, and its many friends.</p></div></body>"
+    assert main_of(parse(page)).attrs.get("id") == "story"
+    assert scored_main(parse("<main>short</main>")) is None and main_of(parse("<main>short</main>")).tag == "main"
+    assert scored_main(parse("")) is None and main_of(parse("")).tag == "#root"
+    deep = "<div>" * 300 + f"<p>{para}</p>" + "</div>" * 300
+    assert main_of(parse(deep)).text() == para

@@ -195,9 +195,49 @@ def tags_of(root: Node) -> list[str]:
     return sorted({t for x in found if (t := x.strip().lower()) and len(t) < 50})
 
 
+#: Blocks whose text counts for the block around them, and what names of blocks say about their content.
+TEXT_BLOCKS = {"p", "pre", "blockquote", "li", "td"}
+HOLDERS = {"article", "main", "section", "div", "td", "body", "blockquote"}
+GOOD_NAMES = re.compile(r"article|body|content|entry|main|page|post|story|text", re.I)
+POOR_NAMES = re.compile(r"ad-|banner|comment|cookie|crumb|footer|foot|header|menu|meta|nav|promo|related|share|sidebar|social|sponsor|subscribe|widget", re.I)
+
+
+def _fit(n: Node) -> float:
+    """What the tag and the names of a block say for it."""
+    names = f"{n.attrs.get('class', '')} {n.attrs.get('id', '')}"
+    return {"article": 10.0, "main": 10.0, "section": 3.0, "div": 2.0, "td": 1.0, "blockquote": 1.0}.get(n.tag, 0.0) + (8.0 if GOOD_NAMES.search(names) else 0.0) - (12.0 if POOR_NAMES.search(names) else 0.0)
+
+
+def scored_main(root: Node) -> Node | None:
+    """The block with most running text of its own and little of it in links; None where no block has a paragraph.
+
+    A paragraph of some length gives its worth (a point, its commas, its length
+    up to a bound) to the block around it, and half of it to the next.
+    """
+    worth: dict[int, float] = {}
+    holder: dict[int, Node] = {}
+    for n in root.walk():
+        if n.tag not in TEXT_BLOCKS or n.tag in ("nav", "footer"):
+            continue
+        t = n.text()
+        if len(t) < 25:
+            continue
+        linked = sum(len(a.text()) for a in n.find_all("a"))
+        gain = (1 + t.count(",") + min(len(t) / 100, 3)) * (1 - min(1.0, linked / len(t)))
+        at, share = n.parent, 1.0
+        while at is not None and share >= 0.5:
+            if at.tag in HOLDERS:
+                holder[id(at)] = at
+                worth[id(at)] = worth.get(id(at), 0.0) + gain * share
+                share /= 2
+            at = at.parent
+    best = max(worth, key=lambda k: worth[k] + _fit(holder[k]), default=None)
+    return None if best is None or worth[best] <= 0 else holder[best]
+
+
 def main_of(root: Node) -> Node:
-    """Article, main part or body, else all."""
-    return root.find("article") or root.find("main") or root.find("body") or root
+    """The block with the main text, else article, main part or body, else all."""
+    return scored_main(root) or root.find("article") or root.find("main") or root.find("body") or root
 
 
 def content_text(root: Node) -> str:

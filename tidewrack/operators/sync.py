@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewrack.functions.text import preview, strip_fence
+from tidewrack.functions.text import domain_suffixes, preview, sender_domain, strip_fence
 from tidewrack.session import staged
 
 
@@ -216,3 +216,22 @@ def digest_files(items: DataFrame, most: int = 5, few: int = 2) -> DataFrame:
     listed = numbered(listed.select("item_id", F.concat_ws("\u0001", F.col("batch_id").cast("string"), "topic").alias("__file"), "batch_id", "topic", entry(F.col("title"))), "__file", "item_id")
     name = F.concat(F.substring(F.replace(F.lower("topic"), F.lit(" "), F.lit("-")), 1, 30), F.lit(".md"))
     return flat.unionByName(listed.select("batch_id", name.alias("file"), F.col("number").alias("place"), "entry"))
+
+
+def trusted_messages(messages: DataFrame, hosts: DataFrame, skip_senders: list[str] | None = None) -> DataFrame:
+    """delivery_id of messages whose sender's domain is in ``hosts`` (column host) or below one, or whose address is in ``skip_senders``.
+
+    Domains are exploded to their suffixes and equi-joined.
+    """
+    x = messages.select("delivery_id", F.explode(domain_suffixes(sender_domain(F.col("sender")))).alias("host"))
+    found = x.join(hosts.select("host").distinct(), "host", "left_semi").select("delivery_id")
+    if skip_senders:
+        address = F.lower(F.regexp_extract(F.regexp_replace("sender", r"^.*<([^<>]*)>.*$", "$1"), r"(\S+@\S+)", 1))
+        found = found.unionByName(messages.filter(address.isin(*[s.lower() for s in skip_senders])).select("delivery_id"))
+    return found.distinct()
+
+
+def not_older_than(df: DataFrame, at: str, days: int) -> DataFrame:
+    """Rows at most ``days`` before the latest of all: the bound on late data of a batch run."""
+    latest = df.agg(F.max(at)).first()[0]  # one value
+    return df.filter(F.col(at) >= F.lit(latest) - F.expr(f"interval {days} days")) if latest is not None else df

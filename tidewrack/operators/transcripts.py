@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewrack.functions.text import speaker_label, timestamp_mark
+
 _TIME = r"^\s*(\d{1,2}:\d{2}:\d{2})[.,]\d{3}\s*-->"
 
 
@@ -31,3 +33,10 @@ def paragraphs(lines: Column, size: int = 5) -> Column:
     n = F.ceil(F.size(lines) / size).cast("int")
     groups = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda k: F.array_join(F.slice(lines, k * size + 1, size), " "))
     return F.when(n > 0, F.array_join(groups, "\n\n")).otherwise("")
+
+
+def segments_text(segments: Column) -> Column:
+    """Segments (start in seconds, speaker, text) as lines: [HH:MM:SS], the speaker where known, the text; empty texts drop out."""
+    said = F.filter(segments, lambda s: F.trim(s.text) != "")
+    who = lambda s: F.when(s.speaker.isNotNull() & (s.speaker != ""), F.concat(speaker_label(s.speaker), F.lit(": "))).otherwise("")
+    return F.array_join(F.transform(said, lambda s: F.concat(timestamp_mark(s.start), F.lit(" "), who(s), F.trim(s.text))), "\n")

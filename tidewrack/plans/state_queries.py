@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewrack.functions import html as h
 from tidewrack.functions import text as t
 from tidewrack.functions import urls as u
-from tidewrack.operators import state, store, sync
+from tidewrack.operators import state, store, sync, transcripts
 from tidewrack.operators.upsert import canonical_message_id
 from tidewrack.plans.registry import query, table
-from tidewrack.plans.sync_queries import _MID, _NEWS, _TRUST, _trusted
+from tidewrack.plans.sync_queries import _MID, _NEWS, _TRUST, PLATFORMS, _trusted
 from tidewrack.plans.text_queries import _GOOD, _SQL_SLUG, _URLS
 from tidewrack.plans.url_queries import sql_norm
 from tidewrack.sources import sinks
@@ -180,3 +181,58 @@ def recovered_urls(spark, d):
     c = F.col
     text = F.concat(t.header(c("title"), c("source_url"), c("content_type"), c("date"), c("author"), c("tags"), c("duration"), c("channel"), c("word_count")), F.lit("\n\nsource_url of the text\n"), c("text"))
     return state.recovered_urls(table(spark, d, "items").filter("trim(source_url) <> '' and not (source_url rlike '\\n')").select(text.alias("text")))
+
+
+@query("trusted_with_list", f"SELECT delivery_id FROM ({_TRUST}) UNION SELECT delivery_id FROM messages WHERE lower(sender) LIKE '%<news@%' OR lower(sender) LIKE 'news@%'")
+def trusted_with_list(spark, d):
+    """Trusted senders by domain, and those of a list of addresses: all that begin with news@."""
+    m = table(spark, d, "messages")
+    address = F.lower(F.regexp_extract(F.regexp_replace("sender", r"^.*<([^<>]*)>.*$", "$1"), r"(\S+@\S+)", 1))
+    listed = [r[0] for r in m.select(address.alias("a")).distinct().filter("a like 'news@%'").collect()]  # a list of settings
+    hosts = table(spark, d, "feeds").select(u.host(F.col("url")).alias("host")).unionByName(spark.createDataFrame([(p,) for p in PLATFORMS], "host string"))
+    return sync.trusted_messages(m, hosts, listed)
+
+
+@query("recent_messages", "SELECT delivery_id FROM messages WHERE received_at >= (SELECT max(received_at) FROM messages) - INTERVAL 7 DAY")
+def recent_messages(spark, d):
+    return sync.not_older_than(table(spark, d, "messages"), "received_at", 7).select("delivery_id")
+
+
+@query("rolling_history", "SELECT sender, delivery_id FROM (SELECT sender, delivery_id, row_number() OVER (PARTITION BY sender ORDER BY received_at DESC, delivery_id DESC) AS k FROM messages) WHERE k <= 7")
+def rolling_history(spark, d):
+    x = table(spark, d, "messages").select("sender", "delivery_id", "received_at")
+    return sync.newest_per_key(x, "sender", [F.desc("received_at"), F.desc("delivery_id")], 7).select("sender", "delivery_id")
+
+
+@query("segment_lines", """WITH w AS (SELECT doc_id, unnest(list_filter(string_split(text, chr(10)), lambda s: trim(s) <> '')) AS s, generate_subscripts(list_filter(string_split(text, chr(10)), lambda s: trim(s) <> ''), 1) AS i FROM documents WHERE doc_kind = 'transcript')
+    SELECT doc_id, string_agg(printf('[%02d:%02d:%02d] ', i * 7 // 3600, i * 7 % 3600 // 60, i * 7 % 60) || CASE WHEN i % 3 > 0 THEN 'Speaker ' || (i % 3 + 1) || ': ' ELSE '' END || trim(s, ' '), chr(10) ORDER BY i) AS lines FROM w GROUP BY 1""")
+def segment_lines(spark, d):
+    """Lines of transcripts as timed segments of speakers, rendered."""
+    x = table(spark, d, "documents").filter("doc_kind = 'transcript'").select("doc_id", F.filter(F.split("text", "\n"), lambda s: F.trim(s) != "").alias("l")).filter(F.size("l") > 0)
+    seg = F.transform("l", lambda s, i: F.struct(((i + 1) * 7).cast("double").alias("start"), F.when((i + 1) % 3 > 0, F.format_string("SPEAKER_%02d", (i + 1) % 3)).alias("speaker"), s.alias("text")))
+    return x.select("doc_id", transcripts.segments_text(seg).alias("lines"))
+
+
+_CLEAN = "trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
+
+
+@query("page_metadata", f"""SELECT item_id, coalesce(nullif({_CLEAN.format(c='title')}, ''), 'Untitled') AS title, nullif({_CLEAN.format(c='date')}, '') AS written_date, nullif({_CLEAN.format(c='author')}, '') AS author,
+    list_sort(list_distinct(list_filter(list_transform(coalesce(tags, []), lambda x: trim(lower(x))), lambda x: x <> '' AND length(x) < 50))) AS tags, 'https://h.example/p/' || item_id AS next_page, CASE WHEN item_id % 3 = 0 THEN 'https://www.youtube.com/embed/v' || item_id END AS media FROM items""")
+def page_metadata(spark, d):
+    """The fields of every item written into a page, in one of two ways each, and read back by one parse."""
+    esc = lambda c: F.replace(F.replace(F.replace(F.coalesce(F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;")), F.lit("<"), F.lit("&lt;"))
+    meta = lambda key, name, v: F.when(v != "", F.concat(F.lit(f'<meta {key}="{name}" content="'), v, F.lit('">'))).otherwise("")
+    even = F.col("item_id") % 2 == 0
+    n = F.col("item_id").cast("string")
+    title, date, author = esc("title"), esc("date"), esc("author")
+    tagged = F.coalesce(F.col("tags"), F.array().cast("array<string>"))
+    page = F.concat(
+        F.when(even, meta("property", "og:title", title)).otherwise(F.when(title != "", F.concat(F.lit("<main><h1>"), title, F.lit("</h1></main>"))).otherwise("")),
+        F.when(even, meta("property", "article:published_time", date)).otherwise(F.when(date != "", F.concat(F.lit('<time datetime="'), date, F.lit('"></time>'))).otherwise("")),
+        F.when(even, meta("name", "author", author)).otherwise(F.when(author != "", F.concat(F.lit('<p class="byline">By '), author, F.lit("</p>"))).otherwise("")),
+        F.when(even, meta("name", "keywords", F.array_join(tagged, ","))).otherwise(F.array_join(F.transform(tagged, lambda x: F.concat(F.lit('<a rel="tag" href="/t">'), x, F.lit("</a>"))), "")),
+        F.when(even, F.concat(F.lit('<a rel="next" href="/p/'), n, F.lit('/">x</a>'))).otherwise(F.concat(F.lit('<a href="p/'), n, F.lit('#c">Older posts</a>'))),
+        F.when(F.col("item_id") % 3 == 0, F.concat(F.lit('<iframe src="https://www.youtube.com/embed/v'), n, F.lit('"></iframe>'))).otherwise(""),
+    )
+    x = h.extract(table(spark, d, "items").select("item_id", page.alias("html"), F.lit("https://h.example/list").alias("url")), "html", "url")
+    return x.select("item_id", "page.title", "page.written_date", "page.author", "page.tags", "page.next_page", "page.media")

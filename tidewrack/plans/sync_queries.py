@@ -19,9 +19,8 @@ _HOSTS = "(SELECT DISTINCT regexp_replace(lower(regexp_extract(url, '^[a-z]+://(
 
 def _trusted(messages, feed_table):
     """Messages whose sender's domain is a feed's host or below it: domains are exploded to suffixes and equi-joined."""
-    hosts = feed_table.select(u.host(F.col("url")).alias("suffix")).unionByName(feed_table.sparkSession.createDataFrame([(p,) for p in PLATFORMS], "suffix string")).distinct()
-    x = messages.withColumn("suffix", F.explode(t.domain_suffixes(t.sender_domain(F.col("sender")))))
-    return x.join(hosts, "suffix", "left_semi").select("delivery_id").distinct()
+    hosts = feed_table.select(u.host(F.col("url")).alias("host")).unionByName(feed_table.sparkSession.createDataFrame([(p,) for p in PLATFORMS], "host string"))
+    return sync.trusted_messages(messages, hosts)
 
 
 _TRUST = f"SELECT DISTINCT delivery_id FROM messages, (SELECT host FROM {_HOSTS} UNION SELECT unnest({PLATFORMS!r})) h WHERE {_DOMAIN} = h.host OR ends_with({_DOMAIN}, '.' || h.host)"
