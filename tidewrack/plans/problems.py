@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewrack.functions.dates import ABBREVIATIONS, FORMS, MONTHS
 from tidewrack.operators.timestamps import found_timestamps
 from tidewrack.operators.upsert import repeated_deliveries
 from tidewrack.tables import table
@@ -18,28 +17,39 @@ def p7_found(spark: SparkSession, data_dir: str) -> DataFrame:
     return found_timestamps(*(table(spark, data_dir, t) for t in ("items", "feed_results", "messages", "feeds")))
 
 
-def _sql_dates() -> str:
-    """The written forms are shared with the operator; evaluation and time zones are the database's own."""
-    import re
-
-    quote = lambda x: x.replace("'", "''")
-    form = " ".join(f"WHEN regexp_matches(s, '{quote(p)}') THEN regexp_replace(s, '{quote(p)}', '{re.sub(chr(92) + '$([0-9])', chr(92) * 2 + chr(92) + '1', to)}')" for p, to in FORMS).replace("\\\\", "\\")
-    months = ", ".join(f"'{w}': {m}" for m, ws in MONTHS.items() for w in ws.split())
-    short = ", ".join(f"'{k}': {v * 60}" for k, v in ABBREVIATIONS.items())
-    return f"""
-        WITH r AS (SELECT 'items' AS tbl, item_id AS rec_id, date, tz AS zone FROM items LEFT JOIN feeds USING (feed_id)
-          UNION ALL SELECT 'feed_results', result_id, date, tz FROM feed_results LEFT JOIN feeds USING (feed_id)
-          UNION ALL SELECT 'messages', delivery_id, date, headers['X-Origin-Zone'] FROM messages),
-        c AS (SELECT tbl, rec_id, zone, trim(regexp_replace(date, '\\s+', ' ', 'g')) AS s FROM r WHERE date IS NOT NULL),
-        p AS (SELECT *, string_split(CASE {form} END, '|') AS p FROM c),
-        q AS (SELECT *, CAST(try_strptime(p[1] || '-' || lpad(CAST(coalesce(try_cast(p[2] AS INT), MAP {{{months}}}[lower(p[2])]) AS VARCHAR), 2, '0') || '-' || lpad(p[3], 2, '0'), '%Y-%m-%d') AS TIMESTAMP) AS day,
-            p[4] <> '' AS timed, CASE lower(p[7]) WHEN 'p' THEN try_cast(p[4] AS INT) % 12 + 12 WHEN 'a' THEN try_cast(p[4] AS INT) % 12 ELSE try_cast(p[4] AS INT) END AS h, try_cast(p[5] AS INT) AS mi, coalesce(try_cast(p[6] AS INT), 0) AS sec,
-            coalesce(CASE WHEN p[8] <> '' THEN (CASE WHEN p[8][1] = '-' THEN -1 ELSE 1 END) * (CAST(p[8][2:3] AS INT) * 3600 + coalesce(try_cast(replace(p[8], ':', '')[4:5] AS INT), 0) * 60) END, MAP {{{short}}}[lower(p[9])]) AS off FROM p),
-        t AS (SELECT tbl, rec_id, timed, off, day + to_seconds(h * 3600 + mi * 60 + sec) AS local, day, coalesce(nullif(p[9], ''), zone, 'UTC') AS zone FROM q WHERE NOT regexp_matches(s, '^(\\d{{10}}|\\d{{13}})$') AND day IS NOT NULL AND (NOT timed OR (h <= 23 AND mi <= 59 AND sec <= 59)))
-        SELECT tbl, rec_id, CASE WHEN NOT timed THEN strftime(day, '%Y-%m-%d') WHEN off IS NOT NULL THEN strftime(local - to_seconds(off), '%Y-%m-%dT%H:%M:%SZ') ELSE strftime(timezone('UTC', timezone(zone, local)), '%Y-%m-%dT%H:%M:%SZ') END AS utc FROM t
-        UNION ALL SELECT tbl, rec_id, strftime(make_timestamp(CAST(s[1:10] AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M:%SZ') FROM c WHERE regexp_matches(s, '^(\\d{{10}}|\\d{{13}})$')
-    """
-
+#: Days and times found piece by piece, with its own months and zones: it shares nothing with the operator.
+_P7 = r"""
+    WITH r AS (SELECT 'items' AS tbl, item_id AS rec_id, date, tz AS zone FROM items LEFT JOIN feeds USING (feed_id)
+      UNION ALL SELECT 'feed_results', result_id, date, tz FROM feed_results LEFT JOIN feeds USING (feed_id)
+      UNION ALL SELECT 'messages', delivery_id, date, headers['X-Origin-Zone'] FROM messages),
+    c AS (SELECT tbl, rec_id, zone, trim(regexp_replace(regexp_replace(date, '\([^)]*\)', '', 'g'), '[\s\x{a0}\x{202f}]+', ' ', 'g')) AS s FROM r WHERE date IS NOT NULL),
+    -- digits only: an epoch, or a day with or without a time
+    n AS (SELECT *, regexp_matches(s, '^(\d{10}|\d{13}|\d{16})$') AS epoch, regexp_matches(s, '^\d{8}([Tt ]?\d{4}(\d{2})?)?(\D.*)?$') AND NOT regexp_matches(s, '^(\d{10}|\d{13}|\d{16})$') AS packed FROM c),
+    -- a packed day and time is spelled out, so that one set of rules reads all
+    w AS (SELECT *, CASE WHEN packed THEN regexp_replace(regexp_replace(s, '^(\d{4})(\d{2})(\d{2})[Tt ]?', '\1-\2-\3 '), '^(\S+) (\d{2})(\d{2})(\d{2})?', '\1 \2:\3:\4') ELSE s END AS x FROM n WHERE NOT epoch),
+    p AS (SELECT *,
+        regexp_extract(x, '^(\d{4})[-/](\d{1,2})[-/](\d{1,2})(?:\D|$)', ['y', 'm', 'd']) AS ymd,
+        regexp_extract(x, '^(\d{1,2})([./])(\d{1,2})[./](\d{4})(?:\D|$)', ['a', 'sep', 'b', 'y']) AS nums,
+        regexp_extract(x, '^(?:\pL+\.?,? )?(\d{1,2})(?:er|\.)? (?:de )?(\pL+)\.? (?:de )?(\d{4})(?:\D|$)', ['d', 'm', 'y']) AS dmy,
+        regexp_extract(x, '^(?:\pL+\.?, )?(\pL+)\.? (\d{1,2})(?:st|nd|rd|th)?,? (\d{4})(?:\D|$)', ['m', 'd', 'y']) AS mdy,
+        regexp_extract(x, '(?:^|\D)(\d{1,2})[:h](\d{2})(?::(\d{2}))?', ['h', 'mi', 's']) AS t,
+        lower(regexp_extract(x, '\d ?([AaPp])\.?[Mm]\.?(?: |$)', 1)) AS half,
+        regexp_extract(x, '[:h]\d{2}[^+-]*?([+-])(\d{2}):?(\d{2})?(?:\[.*)?$', ['sign', 'h', 'm']) AS o,
+        regexp_extract(regexp_replace(x, '(?i) ?(uhr|[ap]\.?m\.?)( |$)', ' ', 'g'), '[:h]\d{2}(?:[:.,]\d+)* ?([A-Za-z]+(?:/[A-Za-z_+-]+)*) ?$', 1) AS name FROM w),
+    d AS (SELECT *, CASE WHEN ymd.y <> '' THEN ymd.y WHEN nums.y <> '' THEN nums.y WHEN dmy.y <> '' THEN dmy.y ELSE mdy.y END AS yy,
+        CASE WHEN ymd.y <> '' THEN ymd.m WHEN nums.y <> '' THEN CASE WHEN nums.sep = '.' OR try_cast(nums.a AS INT) > 12 THEN nums.b ELSE nums.a END
+             ELSE (SELECT CAST(min(k) AS VARCHAR) FROM (VALUES ('jan', 1), ('jan', 1), ('ene', 1), ('feb', 2), ('fev', 2), ('mar', 3), ('apr', 4), ('avr', 4), ('abr', 4), ('may', 5), ('mai', 5), ('jun', 6), ('juin', 6), ('jul', 7), ('juil', 7), ('aug', 8), ('aou', 8), ('ago', 8), ('sep', 9), ('set', 9), ('oct', 10), ('okt', 10), ('nov', 11), ('dec', 12), ('dez', 12), ('dic', 12)) v(b, k)
+                   WHERE starts_with(strip_accents(lower(CASE WHEN dmy.y <> '' THEN dmy.m ELSE mdy.m END)), b)) END AS mm,
+        CASE WHEN ymd.y <> '' THEN ymd.d WHEN nums.y <> '' THEN CASE WHEN nums.sep = '.' OR try_cast(nums.a AS INT) > 12 THEN nums.a ELSE nums.b END WHEN dmy.y <> '' THEN dmy.d ELSE mdy.d END AS dd FROM p),
+    q AS (SELECT *, CAST(try_strptime(yy || '-' || mm || '-' || dd, '%Y-%m-%d') AS TIMESTAMP) AS day, t.h <> '' AS timed,
+        CASE half WHEN 'p' THEN try_cast(t.h AS INT) % 12 + 12 WHEN 'a' THEN try_cast(t.h AS INT) % 12 ELSE try_cast(t.h AS INT) END AS h, try_cast(t.mi AS INT) AS mi, coalesce(try_cast(t.s AS INT), 0) AS sec,
+        CASE WHEN o.h <> '' THEN (CASE o.sign WHEN '-' THEN -60 ELSE 60 END) * (try_cast(o.h AS INT) * 60 + coalesce(try_cast(o.m AS INT), 0))
+             ELSE 3600 * CASE upper(name) WHEN 'Z' THEN 0 WHEN 'UT' THEN 0 WHEN 'UTC' THEN 0 WHEN 'GMT' THEN 0 WHEN 'WET' THEN 0 WHEN 'WEST' THEN 1 WHEN 'BST' THEN 1 WHEN 'CET' THEN 1 WHEN 'MEZ' THEN 1 WHEN 'CEST' THEN 2 WHEN 'MESZ' THEN 2 WHEN 'EET' THEN 2 WHEN 'EEST' THEN 3 WHEN 'MSK' THEN 3
+               WHEN 'EST' THEN -5 WHEN 'EDT' THEN -4 WHEN 'CST' THEN -6 WHEN 'CDT' THEN -5 WHEN 'MST' THEN -7 WHEN 'MDT' THEN -6 WHEN 'PST' THEN -8 WHEN 'PDT' THEN -7 WHEN 'AKST' THEN -9 WHEN 'AKDT' THEN -8 WHEN 'HST' THEN -10 WHEN 'JST' THEN 9 WHEN 'KST' THEN 9 WHEN 'AEST' THEN 10 WHEN 'AEDT' THEN 11 WHEN 'NZST' THEN 12 WHEN 'NZDT' THEN 13 END END AS off FROM d),
+    l AS (SELECT *, day + to_seconds(h * 3600 + mi * 60 + sec) AS local, CASE WHEN contains(name, '/') THEN name ELSE coalesce(zone, 'UTC') END AS place FROM q WHERE day IS NOT NULL AND (NOT timed OR (h <= 23 AND mi <= 59 AND sec <= 59)))
+    SELECT tbl, rec_id, CASE WHEN NOT timed THEN strftime(day, '%Y-%m-%d') WHEN off IS NOT NULL THEN strftime(local - to_seconds(off), '%Y-%m-%dT%H:%M:%SZ') ELSE strftime(timezone('UTC', timezone(place, local)), '%Y-%m-%dT%H:%M:%SZ') END AS utc FROM l
+    UNION ALL SELECT tbl, rec_id, strftime(make_timestamp(try_cast(s[1:10] AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M:%SZ') FROM n WHERE epoch
+"""
 
 QUERIES = {"p6_found": p6_found, "p7_found": p7_found}
 
@@ -57,5 +67,5 @@ ORACLE = {
           SELECT delivery_id, mid, row_number() OVER (PARTITION BY mid ORDER BY received_at NULLS LAST, delivery_id) AS k FROM norm WHERE mid IS NOT NULL)
         SELECT delivery_id FROM ranked WHERE k > 1
     """,
-    "p7_found": _sql_dates(),
+    "p7_found": _P7,
 }
