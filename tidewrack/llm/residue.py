@@ -257,7 +257,7 @@ def residue_rows(sources: list[tuple[str, DataFrame, str, str]], trusted: list[s
     one link further from a trusted one; rounds end when none is new.
     """
     spark = sources[0][1].sparkSession
-    texts = spark.createDataFrame(list(enumerate(TRUSTED if trusted is None else trusted)), "rec_id bigint, text string").select(F.lit(None).cast("string").alias("tbl"), "rec_id", "text")
+    texts = spark.createDataFrame(list(enumerate(TRUSTED if trusted is None else trusted)), "rec_id bigint, text string").select(F.lit(None).cast("string").alias("tbl"), "rec_id", "text").coalesce(1)
     for tbl, df, key, text in sources:
         x = df.filter(F.col(key).isNotNull() & (F.length(text) > 0)).select(F.lit(tbl).alias("tbl"), F.col(key).alias("rec_id"), F.col(text).alias("text"))
         texts = texts.unionByName(x)
