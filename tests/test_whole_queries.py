@@ -2,7 +2,9 @@
 
 from collections import Counter
 
-from tidewrack.plans.registry import QUERIES
+import __spark_entry__ as entry
+
+QUERIES = entry.registry.QUERIES
 
 
 def test_reach_over_all_edges(spark, tmp_path):
