@@ -10,9 +10,9 @@ TRACKING_KEYS = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_co
 AUDIO_EXTENSIONS = ["mp3", "wav", "m4a", "ogg", "flac", "aac", "wma"]
 VIDEO_EXTENSIONS = ["mp4", "mkv", "avi", "mov", "webm"]
 FEED_EXTENSIONS = ["xml", "rss", "atom"]
-VIDEO_ID = r"(?:youtube\.com/(?:watch\?|shorts/|live/|playlist\?)|youtu\.be/)"
-VIDEO_CHANNEL = r"youtube\.com/(?:channel/|c/|user/|@)"
-VIDEO_HOSTS = r"(?:^|\.)(?:vimeo\.com|loom\.com)$"
+VIDEO_ID = r"(youtube\.com/(watch|shorts|live)|youtu\.be/|youtube\.com/playlist)"
+VIDEO_CHANNEL = r"youtube\.com/(@[\w.-]+|channel/[\w-]+|c/[\w.-]+|user/[\w.-]+)(/|$)"
+VIDEO_HOSTS = r"(vimeo\.com|loom\.com)"
 # Address patterns and their scores, in order of trial.
 POST_PATTERNS = [(r"/blog/[^/]+", 0.2), (r"/post/", 0.2), (r"/posts/[^/]+", 0.2), (r"/article/", 0.2), (r"/articles/[^/]+", 0.2), (r"/\d{4}/\d{2}/\d{2}/", 0.3), (r"/\d{4}/\d{2}/[^/]+", 0.25), (r"/\d{4}-\d{2}-\d{2}", 0.25), (r"/news/[^/]+", 0.15)]
 OTHER_PATTERNS = [

@@ -40,8 +40,8 @@ def sql_type(c: str) -> str:
     p = f"lower({sql_path(c)})"
     ext = f"regexp_extract({p}, '[^/.][^/]*\\.([^./]*)$', 1)"
     return (
-        f"CASE WHEN regexp_matches({c}, '(youtube\\.com/(watch\\?|shorts/|live/|playlist\\?)|youtu\\.be/)') THEN 'youtube' WHEN regexp_matches({c}, 'youtube\\.com/(channel/|c/|user/|@)') THEN 'youtube_channel'"
-        f" WHEN {ext} IN ('mp3','wav','m4a','ogg','flac','aac','wma') THEN 'audio_file' WHEN regexp_matches({sql_host(c)}, '(^|\\.)(vimeo\\.com|loom\\.com)$') OR {ext} IN ('mp4','mkv','avi','mov','webm') THEN 'video'"
+        f"CASE WHEN regexp_matches({c}, 'youtu\\.be/|youtube\\.com/(live|playlist|shorts|watch)') THEN 'youtube' WHEN regexp_matches({c}, 'youtube\\.com/(?:@[0-9A-Za-z_.-]+|(?:c|user)/[0-9A-Za-z_.-]+|channel/[0-9A-Za-z_-]+)(?:/|$)') THEN 'youtube_channel'"
+        f" WHEN {ext} IN ('mp3','wav','m4a','ogg','flac','aac','wma') THEN 'audio_file' WHEN (contains({sql_host(c)}, 'vimeo.com') OR contains({sql_host(c)}, 'loom.com')) OR {ext} IN ('mp4','mkv','avi','mov','webm') THEN 'video'"
         f" WHEN {ext} IN ('xml','rss','atom') OR contains({p}, '/feed') OR contains({p}, '/rss') OR contains({p}, '/atom.xml') THEN 'rss' ELSE 'blog' END"
     )
 
@@ -115,7 +115,7 @@ def youtube_video_id(spark, d):
 def _sql_mode(c: str) -> str:
     p = f"lower({sql_path(c)})"
     ext = f"regexp_extract({p}, '[^/.][^/]*\\.([^./]*)$', 1)"
-    return f"CASE WHEN regexp_matches({c}, 'youtube\\.com/(channel/|c/|user/|@)') THEN 'rss' WHEN {ext} IN ('xml','rss','atom') OR contains({p}, '/feed') OR contains({p}, '/rss') OR contains({p}, '/atom') THEN 'rss' WHEN list_contains(string_split({p}, '/'), 'podcast') THEN 'podcast' WHEN contains({p}, '/blog') THEN 'blog' ELSE 'site' END"
+    return f"CASE WHEN regexp_matches({c}, 'youtube\\.com/(?:@[0-9A-Za-z_.-]+|(?:c|user)/[0-9A-Za-z_.-]+|channel/[0-9A-Za-z_-]+)(?:/|$)') THEN 'rss' WHEN {ext} IN ('xml','rss','atom') OR contains({p}, '/feed') OR contains({p}, '/rss') OR contains({p}, '/atom') THEN 'rss' WHEN list_contains(string_split({p}, '/'), 'podcast') THEN 'podcast' WHEN contains({p}, '/blog') THEN 'blog' ELSE 'site' END"
 
 
 @query("crawl_mode_detect", f"SELECT url, {_sql_mode('url')} AS mode FROM (SELECT url FROM feeds UNION SELECT url FROM (VALUES {_VALUES}) v(url))")
