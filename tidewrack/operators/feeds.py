@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,8 +50,9 @@ def newest_first(entries: DataFrame, recent: int | None = None) -> DataFrame:
 
 
 def sitemap_urls(pages: DataFrame, xml: str = "xml") -> DataFrame:
-    """url of every ``<loc>``."""
-    return pages.select(F.explode(F.regexp_extract_all(F.col(xml), F.lit(r"<loc>\s*([^<]*?)\s*</loc>"), 1)).alias("url")).filter("url <> ''")
+    """url of every ``<loc>``, without outer white space, entities decoded."""
+    x = pages.select(F.explode(F.regexp_extract_all(F.col(xml), F.lit(r"<loc>\s*([^<]*?)\s*</loc>"), 1)).alias("url")).filter("url <> ''")
+    return x.select(reduce(lambda s, e: F.replace(s, F.lit(e[0]), F.lit(e[1])), [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")], F.col("url")).alias("url"))
 
 
 def robots_rules(files: DataFrame, host: str = "host", text: str = "text", agent: str = "*") -> DataFrame:

@@ -88,7 +88,7 @@ def article_first(spark, d):
 
 
 
-@query("site_crawl", f"""WITH RECURSIVE n AS (SELECT *, row_number() OVER (ORDER BY result_id) AS k FROM feed_results WHERE feed_id = 1 AND url IS NOT NULL),
+@query("site_crawl", f"""WITH RECURSIVE n AS (SELECT *, row_number() OVER (ORDER BY result_id) AS k FROM feed_results WHERE url IS NOT NULL),
     p AS (SELECT 'https://site.example/a/' || (k % 500) AS src, 'https://site.example/' || CASE WHEN k % 7 = 0 THEN 'b/' ELSE 'a/' END || ((k * 3 + 1) % 500) || CASE WHEN k % 11 = 0 THEN '.pdf' ELSE '' END AS dst FROM n),
     e AS (SELECT DISTINCT src, dst FROM p WHERE starts_with(dst, 'https://site.example/a') AND NOT regexp_matches(dst, '(?i)\\.pdf$')),
     r(url, depth) AS (SELECT 'https://site.example/a/1', 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.url WHERE r.depth < 6)
@@ -97,7 +97,7 @@ def site_crawl(spark, d):
     """Pages under a start within six links, the nearest 200 of them."""
     from tidewrack.operators.sync import numbered
 
-    n = numbered(table(spark, d, "feed_results").filter("feed_id = 1 and url is not null").select("feed_id", "result_id"), "feed_id", "result_id").withColumnRenamed("number", "k")
+    n = numbered(table(spark, d, "feed_results").filter("url is not null").select(F.lit(1).alias("site"), "result_id"), "site", "result_id").withColumnRenamed("number", "k")
     folder = F.when(F.col("k") % 7 == 0, "b/").otherwise("a/")
     links = n.select(
         F.concat(F.lit("https://site.example/a/"), (F.col("k") % 500).cast("string"), F.lit("?ref=x")).alias("src"),
@@ -117,11 +117,12 @@ def sitemap_scope(spark, d):
     return crawl.from_sitemaps(starts, sitemap, 25)
 
 
-@query("sitemap_round_trip", "SELECT DISTINCT source_url AS url FROM items WHERE source_url IS NOT NULL AND trim(source_url) <> '' AND NOT regexp_matches(source_url, '[<>&\\s]')")
+@query("sitemap_round_trip", "SELECT DISTINCT trim(source_url, ' ' || chr(9) || chr(10) || chr(13)) AS url FROM items WHERE trim(source_url, ' ' || chr(9) || chr(10) || chr(13)) <> ''")
 def sitemap_round_trip(spark, d):
     """Addresses of stored items written as sitemap entries and read back."""
-    i = table(spark, d, "items").filter("source_url is not null").select(F.col("source_url").alias("url")).distinct().filter(~F.col("url").rlike(r"[<>&\s]"))
-    return feeds.sitemap_urls(i.select(F.concat(F.lit("<urlset><url><loc>\n "), "url", F.lit(" </loc></url></urlset>")).alias("xml")))
+    i = table(spark, d, "items").filter("source_url is not null").select("source_url").distinct()
+    esc = F.replace(F.replace(F.replace("source_url", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return feeds.sitemap_urls(i.select(F.concat(F.lit("<urlset><url><loc>\n "), esc, F.lit(" </loc></url></urlset>")).alias("xml"))).distinct()
 
 
 @query("next_page_chains", """WITH RECURSIVE n AS (SELECT feed_id, result_id, lead(result_id) OVER (PARTITION BY feed_id ORDER BY result_id) AS next FROM feed_results), s AS (SELECT feed_id, min(result_id) AS first FROM feed_results GROUP BY 1),
@@ -171,13 +172,13 @@ def feed_kinds(spark, d):
 
 
 
-@query("feed_documents", """SELECT result_id, coalesce(nullif(trim(title), ''), 'Untitled') AS title, url, CAST(found_at AS DATE) AS day, CASE WHEN audio_url IS NOT NULL THEN 'audio' ELSE 'article' END AS type FROM feed_results
-    WHERE url IS NOT NULL AND trim(url) = url AND url <> '' AND (title IS NULL OR trim(title) = title)""")
+@query("feed_documents", """SELECT result_id, coalesce(nullif(trim(title, ' ' || chr(9) || chr(10) || chr(13)), ''), 'Untitled') AS title, trim(url, ' ' || chr(9) || chr(10) || chr(13)) AS url, CAST(found_at AS DATE) AS day, CASE WHEN audio_url IS NOT NULL THEN 'audio' ELSE 'article' END AS type FROM feed_results
+    WHERE trim(url, ' ' || chr(9) || chr(10) || chr(13)) <> ''""")
 def feed_documents(spark, d):
     """Every entry written as an item of a feed document and parsed again."""
     esc = lambda c: F.replace(F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    r = table(spark, d, "feed_results").filter("url is not null and trim(url) = url and url <> '' and (title is null or trim(title) = title)")
-    title = F.when(F.col("title") != "", F.concat(F.lit("<title>"), esc("title"), F.lit("</title>"))).otherwise("")
+    r = table(spark, d, "feed_results").filter("url is not null")
+    title = F.when(F.col("title").rlike(r"\S"), F.concat(F.lit("<title>"), esc("title"), F.lit("</title>"))).otherwise("")
     sound = F.when(F.col("audio_url").isNotNull(), F.concat(F.lit('<enclosure type="audio/mpeg" url="'), esc("audio_url"), F.lit('"/>'))).otherwise("")
     xml = F.concat(F.lit("<rss><channel><item>"), title, F.lit("<link>"), esc("url"), F.lit("</link>"), sound, F.lit("<pubDate>"), F.date_format("found_at", "dd MMM yyyy HH:mm:ss"), F.lit(" GMT</pubDate></item></channel></rss>"))
     return feeds.feed_entries(r.select("result_id", xml.alias("xml")), key="result_id").select("result_id", "title", "url", "day", "type")

@@ -70,13 +70,7 @@ def related_top5(spark, d):
 
 
 @query("digest_body", """SELECT batch_id, count(*) AS items, string_agg(number || '. ' || coalesce(title, 'Untitled') || ' (' || content_type || ')', chr(10) ORDER BY number) AS body
-    FROM (SELECT batch_id, title, content_type, row_number() OVER (PARTITION BY batch_id ORDER BY item_id) AS number FROM items WHERE batch_id <= 3) GROUP BY 1""")
+    FROM (SELECT batch_id, title, content_type, row_number() OVER (PARTITION BY batch_id ORDER BY item_id) AS number FROM items) GROUP BY 1""")
 def digest_body(spark, d):
-    """Numbered digests of the first runs."""
-    return sync.digest_bodies(table(spark, d, "items").filter("batch_id <= 3"))
-
-
-@query("digest_body_all")
-def digest_body_all(spark, d):
-    """``digest_body`` of every run."""
+    """Numbered digests of every run."""
     return sync.digest_bodies(table(spark, d, "items"))

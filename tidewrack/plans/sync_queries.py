@@ -93,6 +93,7 @@ def entry_content_type(spark, d):
 @query("first_sync_cap", """WITH seen AS (SELECT DISTINCT feed_id FROM items WHERE feed_id IS NOT NULL AND batch_id <= 8), r AS (SELECT feed_id, result_id, row_number() OVER (PARTITION BY feed_id ORDER BY found_at DESC, result_id) AS k FROM feed_results)
     SELECT feed_id, result_id FROM r WHERE feed_id IN (SELECT feed_id FROM seen) OR k <= 20""")
 def first_sync_cap(spark, d):
+    """All entries, against the state after eight runs: the feeds of the items stored by then."""
     seen = table(spark, d, "items").filter("feed_id is not null and batch_id <= 8")
     x = table(spark, d, "feed_results").select("feed_id", "result_id", "found_at")
     return sync.first_sync_cap(x, seen, "feed_id", [F.desc("found_at"), F.asc("result_id")]).select("feed_id", "result_id")
@@ -101,6 +102,7 @@ def first_sync_cap(spark, d):
 @query("seen_and_saved_filter", f"""SELECT result_id FROM feed_results r WHERE url IS NOT NULL AND NOT (EXISTS (SELECT 1 FROM feed_results o WHERE o.batch_id <= 32 AND o.feed_id = r.feed_id AND o.url = r.url)
     AND {sql_norm('r.url')} IN (SELECT {sql_norm('source_url')} FROM items WHERE source_url IS NOT NULL))""")
 def seen_and_saved_filter(spark, d):
+    """All entries, against the state after 32 runs: the addresses seen by then, and all stored items."""
     r = table(spark, d, "feed_results").filter("url is not null")
     x = r.select("result_id", "feed_id", "url", u.normalize_url(F.col("url")).alias("norm"))
     saved = table(spark, d, "items").filter("source_url is not null").select(u.normalize_url(F.col("source_url")).alias("norm")).distinct()
@@ -146,36 +148,22 @@ def sync_status(spark, d):
     return x.select("feed_id", "name", F.when(F.col("disabled"), "disabled").when(F.coalesce("streak", F.lit(0)) > 0, F.format_string("failing(%d)", "streak")).otherwise("OK").alias("health"))
 
 
-_EDGES = "(SELECT DISTINCT l_suppkey AS src, l_partkey % (SELECT max(s_suppkey) FROM supplier) + 1 AS dst FROM lineitem WHERE l_partkey % 7 = l_suppkey % 7 AND l_quantity < 4)"
+_EDGES = "(SELECT DISTINCT l_suppkey AS src, l_partkey % (SELECT max(s_suppkey) FROM supplier) + 1 AS dst FROM lineitem)"
 
 
 @query("bfs_reachable", f"""WITH RECURSIVE e AS MATERIALIZED {_EDGES}, r(node, depth) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 4)
     SELECT node, min(depth) AS depth FROM r GROUP BY 1""")
 def bfs_reachable(spark, d):
-    n = table(spark, d, "supplier").agg(F.max("s_suppkey")).first()[0]
-    x = table(spark, d, "lineitem").filter("l_partkey % 7 = l_suppkey % 7 and l_quantity < 4")
-    links = x.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % n + 1).alias("dst")).distinct()
-    return crawl.reach(links, spark.createDataFrame([(1,)], "node bigint"), 4)
-
-
-@query("bfs_reachable_all")
-def bfs_reachable_all(spark, d):
-    """``bfs_reachable`` over every edge."""
+    """Suppliers within four links of the first, over every edge."""
     n = table(spark, d, "supplier").agg(F.max("s_suppkey")).first()[0]
     links = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % n + 1).alias("dst")).distinct()
     return crawl.reach(links, spark.createDataFrame([(1,)], "node bigint"), 4)
 
 
-@query("digest_topics", """WITH i AS (SELECT row_number() OVER (ORDER BY item_id) AS number, unnest(tags) AS topic FROM items WHERE tags IS NOT NULL AND batch_id = 31)
-    SELECT topic, count(*) AS size FROM i GROUP BY 1 ORDER BY size DESC, min(number), topic LIMIT 5""")
+@query("digest_topics", """SELECT batch_id, topic, count(*) AS size, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY count(*) DESC, min(item_id), topic) AS INT) AS rank FROM (SELECT batch_id, item_id, unnest(tags) AS topic FROM items WHERE tags IS NOT NULL)
+    GROUP BY 1, 2 QUALIFY rank <= 5""")
 def digest_topics(spark, d):
-    """The five topics with most items of one batch."""
-    return sync.batch_topics(table(spark, d, "items").filter("batch_id = 31")).select("topic", "size")
-
-
-@query("digest_topics_all")
-def digest_topics_all(spark, d):
-    """``digest_topics`` of every batch."""
+    """The five topics with most items of every batch."""
     return sync.batch_topics(table(spark, d, "items"))
 
 

@@ -172,6 +172,15 @@ def transcript_cues(spark, d):
     return x.select("doc_id", F.size("c").cast("bigint").alias("cues"), F.size(transcripts.without_repeats(F.col("c"))).cast("bigint").alias("kept"), F.array_min(F.transform("c", lambda e: e["at"])).alias("first_at"), F.aggregate("c", F.lit(0).cast("bigint"), lambda a, e: a + F.length(e.text)).alias("chars"))
 
 
+@query("cue_texts", f"""WITH c AS (SELECT doc_id, unnest({_CUE.replace("{g}", "1")}) AS cue_at, unnest({_CUE.replace("{g}", "2")}) AS said, generate_subscripts({_CUE.replace("{g}", "1")}, 1) AS i FROM documents WHERE doc_kind = 'caption'),
+    s AS (SELECT doc_id, i, '[' || lpad(cue_at, 8, '0') || ']' AS cue_at, trim(replace(rtrim(said, chr(10)), chr(10), ' ')) AS said FROM c), k AS (SELECT *, lag(said) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM s WHERE said <> '')
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS INT) AS place, cue_at, said FROM k WHERE prev IS NULL OR prev <> said""")
+def cue_texts(spark, d):
+    """Every cue's time and text, without repeats."""
+    x = table(spark, d, "documents").filter("doc_kind = 'caption'").select("doc_id", F.posexplode(transcripts.without_repeats(transcripts.cues(F.col("text")))).alias("pos", "c"))
+    return x.select("doc_id", (F.col("pos") + 1).alias("place"), F.col("c")["at"].alias("cue_at"), F.col("c")["text"].alias("said"))
+
+
 @query("transcript_paragraphs", """WITH l AS (SELECT doc_id, unnest(string_split(rtrim(text, chr(10)), chr(10))) AS line, generate_subscripts(string_split(rtrim(text, chr(10)), chr(10)), 1) AS i FROM documents WHERE doc_kind = 'transcript'),
     p AS (SELECT doc_id, (i - 1) // 5 AS k, string_agg(line, ' ' ORDER BY i) AS para FROM l GROUP BY 1, 2) SELECT doc_id, string_agg(para, chr(10) || chr(10) ORDER BY k) AS paragraphs FROM p GROUP BY 1""")
 def transcript_paragraphs(spark, d):
