@@ -167,3 +167,11 @@ def test_replies(spark):
     assert rows(sync.match_replies(m, h.limit(0), F.lit(True))) == set()
     r = spark.createDataFrame([(1, '[{"type": "add_feed", "url": "u"}, {"type": "remove_feed", "name": "n"}, {"type": "skip", "items": [7]}]'), (2, "no json"), (3, None)], "k int, response string").withColumn("item_map", F.create_map(F.lit("1"), F.lit("p")))
     assert rows(sync.decode_actions(r, "k").select("k", "type", "url", "name", "kind")) == {(1, "add_feed", "u", "", "rss"), (1, "remove_feed", "", "n", None)}
+
+
+def test_settings_round_trip():
+    import tomllib
+
+    s = {"a": 1, "list": ["x", 'q"\\\n\x01', True], "deep": {"b c": 2.5, "more": {"on": False}, "empty": {}}, "none": None}
+    assert tomllib.loads(state.settings_text(s)) == {k: v for k, v in s.items() if k != "none"}
+    assert tomllib.loads(state.settings_text({})) == {}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tomllib
 from typing import Any
 
@@ -168,3 +169,25 @@ def state_json(states: DataFrame, state: str = "state") -> DataFrame:
     return states.withColumn("text", F.to_json(whole))
 
 
+
+
+def settings_text(settings: dict[str, Any], at: tuple[str, ...] = ()) -> str:
+    """Settings as TOML that ``load_settings`` reads: values first, then tables; None is left out."""
+
+    def value(v: Any) -> str:
+        if isinstance(v, bool):
+            return "true" if v else "false"
+        if isinstance(v, (int, float)):
+            return repr(v)
+        if isinstance(v, (list, tuple)):
+            return "[" + ", ".join(map(value, v)) + "]"
+        return '"' + "".join({"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t"}.get(c, c if c >= " " else f"\\u{ord(c):04x}") for c in str(v)) + '"'
+
+    def name(k: str) -> str:
+        return k if re.fullmatch(r"[A-Za-z0-9_-]+", k) else value(k)
+
+    lines = [f"{name(k)} = {value(v)}" for k, v in settings.items() if v is not None and not isinstance(v, dict)]
+    if at and (lines or not settings):
+        lines.insert(0, f"[{'.'.join(map(name, at))}]")
+    parts = ["\n".join(lines) + "\n"] if lines else []
+    return "\n".join(parts + [settings_text(v, (*at, k)) for k, v in settings.items() if isinstance(v, dict)])
