@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidewrack.llm import variants
@@ -114,3 +115,49 @@ def test_cut_is_found_level_by_level(spark, monkeypatch):
         assert 2500 - 12 < sum(r.tokens for r in rows) <= 2500
         got.append({(r.doc_id, r.pass_no) for r in rows})
     assert got[0] == got[1] == got[2]
+
+
+def _packed_keys(spark, n, parts):
+    """Symbols of n records, and the rows of their keys of the first round."""
+    symbols = np.random.default_rng(1).integers(0, 65536, (n, variants.SLOTS), dtype=np.uint16)
+    ids = [int(k) for k in np.random.default_rng(2).permutation(n) * 17 - 2**40]
+    sig = spark.createDataFrame([(i, x.tobytes()) for i, x in zip(ids, symbols)], "item_id bigint, symbols binary")
+    return symbols, ids, variants._packed(sig, parts, 0)
+
+
+def test_variant_keys_are_moved_in_few_bytes(spark):
+    """Every key of every record arrives, in its part, at 8 bytes and not as a row of some 30."""
+    symbols, ids, packed = _packed_keys(spark, 500, 5)
+    rows = packed.collect()
+    got = set()
+    for r in rows:
+        keys, recs = variants._unpacked(r.least, r.wide, r.packed)
+        got |= set(zip([r.part] * len(keys), keys.tolist(), recs.tolist()))
+    keys = variants.variant_keys(symbols, 0)
+    bits = 8 * variants.KEY_BYTES
+    assert got == {((k >> bits) % 5, k & (1 << bits) - 1, i) for i, ks in zip(ids, keys.tolist()) for k in ks}
+    assert sum(len(r.packed) for r in rows) <= 8 * keys.size
+    assert len({k for t in range(variants.ROUNDS) for k in variants.variant_keys(symbols[:1], t)[0].tolist()}) == variants.SLOTS
+
+
+def test_pairs_that_meet_equal_brute_force(monkeypatch):
+    """All pairs under each key, hot ones too, in batches that stay bounded."""
+    monkeypatch.setattr(variants, "PAIRS_A_BATCH", 50)
+    r = np.random.default_rng(3)
+    keys, ids = np.r_[r.integers(0, 40, 200), np.full(60, 99)].astype(np.uint64), np.r_[r.integers(-50, 50, 200), np.arange(60) - 30]
+    want = {(a, b) for k, a in zip(keys, ids) for m, b in zip(keys, ids) if k == m and a < b}
+    batches = list(variants._meeting(keys, ids.astype(np.int64)))
+    assert {(a, b) for x in batches for a, b in zip(x["a"], x["b"])} == want and max(map(len, batches)) <= 50 + 300
+    assert not any(len(x) for x in variants._meeting(np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+
+
+def test_unlike_records_rarely_meet(spark):
+    """Unlike records that meet, which grow with the square of the records, are fewer than one pair in 100 at similarity 0.07."""
+    r, n = np.random.default_rng(4), 3000
+    symbols = np.where(r.random((n, variants.SLOTS)) < 0.07**0.5, 7, r.integers(0, 65536, (n, variants.SLOTS))).astype(np.uint16)
+    met = set()
+    for turn in range(variants.ROUNDS):
+        keys = variants.variant_keys(symbols, turn)
+        for x in variants._meeting(keys.reshape(-1), np.repeat(np.arange(n), keys.shape[1])):
+            met |= set(zip(x["a"].tolist(), x["b"].tolist()))
+    assert len(met) < n * (n - 1) / 2 / 100

@@ -47,18 +47,30 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidewrack/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+#: Setting under which a query deletes its shuffle files when it ends.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def staged(df: DataFrame, name: str, partition_by: list[str] | None = None, free: bool = False) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs a re-read of the files and nothing
-    that came before them.
+    that came before them. With ``free`` the shuffle files of the write are
+    deleted at its end and not when the driver next collects garbage.
     """
     spark = df.sparkSession
     path = stage_path(spark, name)
-    w = df.write.mode("errorifexists")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+    before = spark.conf.get(_FREE, None)
+    if free:
+        spark.conf.set(_FREE, "true")
+    try:
+        w = df.write.mode("errorifexists")
+        if partition_by:
+            w = w.partitionBy(*partition_by)
+        w.parquet(path)
+    finally:
+        if free:
+            spark.conf.unset(_FREE) if before is None else spark.conf.set(_FREE, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -68,6 +80,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def unstaged(df: DataFrame) -> None:
+    """Delete the stage table that ``df`` reads; nothing may read it afterwards."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        drop_path(df.sparkSession, folder)
+
+
 def work_slots(spark: SparkSession, per_core: int = 2) -> int:
     """Partitions to aim for where a stage runs Python on few large rows."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), per_core * spark.sparkContext.defaultParallelism)
