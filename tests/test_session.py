@@ -64,3 +64,15 @@ def test_stage_tables_and_cleanup(spark, tmp_path, monkeypatch):
     assert at.is_dir()
     drop_stages(spark)
     assert not at.exists()
+
+
+def test_freed_stages(spark):
+    """A freed write leaves the session's setting as it was, and a stage can be deleted."""
+    from tidewrack import session as module
+
+    before = spark.conf.get(module._FREE, None)
+    df = module.staged(spark.range(10).repartition(3, "id"), "freed", free=True)
+    assert spark.conf.get(module._FREE, None) == before and df.count() == 10
+    folder = df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    module.unstaged(df)
+    assert not os.path.exists(folder)
